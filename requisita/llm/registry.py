@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
+from .exact_dedup import dedup_exact
 from .substring_dedup import dedup_substrings
+from .suffix_dedup import dedup_suffixes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -16,6 +18,24 @@ def query(f):
     return f
 
 
+@query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_exact(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op4_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_suffixes(table(spark, sf_dir, "documents"), with_bytes=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
