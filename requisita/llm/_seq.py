@@ -110,16 +110,30 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, for each text,
     the index of its first word (one more entry than texts)."""
-    if "separator" not in _tables:
-        table = np.zeros(256, bool)
-        table[list(_SEPARATORS)] = True
-        _tables["separator"] = table
+    if "word" not in _tables:
+        table = np.ones(256, bool)
+        table[list(_SEPARATORS)] = False
+        _tables["word"] = table
+    return runs(_tables["word"], buf, offsets)
+
+
+def letter_runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, for runs of ASCII letters and bytes of other alphabets."""
+    if "letter" not in _tables:
+        table = np.arange(256) >= 128
+        table[65:91] = table[97:123] = True
+        _tables["letter"] = table
+    return runs(_tables["letter"], buf, offsets)
+
+
+def runs(member: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the bytes that ``member`` holds, within each text."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_tables["separator"][buf]
+    inside = member[buf]
     first = np.zeros(n + 1, bool)
-    first[offsets[:-1]] = True
+    first[offsets] = True
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | first[1:n]
     ends = inside.copy()

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
 from .exact_dedup import dedup_exact
+from .language_id import identify_language
 from .minhash_dedup import link_components
+from .quality import score_quality
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
+from .toxicity import score_toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -19,6 +22,16 @@ def query(f):
     return f
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
@@ -31,6 +44,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_suffixes(table(spark, sf_dir, "documents"), with_bytes=False)
