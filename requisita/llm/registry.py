@@ -11,6 +11,7 @@ from .minhash_dedup import link_components
 from .quality import score_quality
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
+from .topk import top_k
 from .toxicity import score_toxicity
 
 QUERIES: dict = {}
@@ -76,6 +77,21 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
 
+@query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op9_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 @query
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
