@@ -8,6 +8,8 @@ from ._shared import table
 from .exact_dedup import dedup_exact
 from .language_id import identify_language
 from .minhash_dedup import link_components
+from .packing import pack_documents
+from .pieces import round_trip
 from .quality import score_quality
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
@@ -33,6 +35,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
@@ -45,6 +52,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
