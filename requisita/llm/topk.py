@@ -14,7 +14,8 @@ Defined cases: vectors that are null, or hold a null or a component that is not
 finite, take no part, nor do rows without vec_id; of rows with one vec_id the
 least vector counts; vectors of different lengths have no product; ties go to
 the smaller vec_id; other columns are ignored; an empty table gives an empty
-result.  Components beyond 2**20 in size are multiplied as Python integers.
+result.  Components beyond 2**20 in size are multiplied as Python integers, and a score
+that does not fit 64 bits is the nearest that does.
 """
 
 from __future__ import annotations
@@ -171,8 +172,8 @@ def _search_plain(points, ids, queries, query_ids, floor, k):
     out = []
     for i, q in enumerate(queries):
         q = [int(x) for x in q]
-        scores = [(-sum(a * b for a, b in zip(q, p)), int(ids[j]), j) for j, p in enumerate(whole) if ids[j] != query_ids[i]]
-        out += [(i, j, max(-(2**63), min(2**63 - 1, -s))) for s, _, j in sorted(scores)[:k] if -s >= floor[i]]
+        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, p)))), int(ids[j]), j) for j, p in enumerate(whole) if ids[j] != query_ids[i]]
+        out += [(i, j, -s) for s, _, j in sorted(scores)[:k] if -s >= floor[i]]
     return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
 
 
