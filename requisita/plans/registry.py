@@ -1,4 +1,7 @@
 """Every query of the engine and its equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import ledger_queries, token_queries
+
+MODULES = (ledger_queries, token_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
