@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a classifier is fitted on at most, and the
 #: bytes that a row gives at most (a slice at a hashed place of a longer text).
-SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = 1500
+SAMPLE_CHARS = 6_000
 
 
 def remainder(of: Column, modulus: int) -> Column:

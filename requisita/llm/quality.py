@@ -67,15 +67,17 @@ def index_vectors(buckets: int, dimensions: int, ones: int = 4) -> tuple[np.ndar
     return (h % U64(dimensions)).astype(np.int64), np.where((h >> U64(40)) & U64(1), 1.0, -1.0)
 
 
-def word_vectors(word: np.ndarray, shape: np.ndarray, text: np.ndarray, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, reach: int = 2) -> np.ndarray:
+def word_vectors(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, reach: int = 2) -> np.ndarray:
     """Context vectors summed over the sample; shapes have index vectors only."""
     place, sign = index_vectors(buckets, dimensions)
     total = np.zeros(buckets * dimensions)
-    for d in range(1, reach + 1):
-        same = text[d:] == text[:-d]
-        for a, b in ((word[d:][same], word[:-d][same]), (word[:-d][same], word[d:][same])):
-            for j in range(place.shape[1]):
-                total += np.bincount(a * dimensions + place[b, j], weights=sign[b, j], minlength=buckets * dimensions)
+    for i, j in chunks(offsets):
+        word, _, text = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets)
+        for d in range(1, reach + 1):
+            same = text[d:] == text[:-d]
+            for a, b in ((word[d:][same], word[:-d][same]), (word[:-d][same], word[d:][same])):
+                for e in range(place.shape[1]):
+                    total += np.bincount(a * dimensions + place[b, e], weights=sign[b, e], minlength=buckets * dimensions)
     vectors = total.reshape(buckets, dimensions)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     own = np.zeros((buckets, dimensions))
@@ -138,7 +140,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_out:
     if not texts:
         return None
     buf, offsets = flat(texts)
-    vectors = word_vectors(*tokens(buf, offsets))
+    vectors = word_vectors(buf, offsets)
     x = np.vstack([pool(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vectors) for i, j in chunks(offsets)])
     return vectors, Network(x, y, weight)
 

@@ -43,13 +43,13 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int = TABLE_BITS) -> tu
     low = lower_ascii(buf)
     s, e, first = letter_runs(low, offsets)
     prefix = Prefix(alphabet()[low])
-    out = np.empty((len(s), 1 + len(PREFIXES)), np.int64)
+    out = np.empty((len(s), 1 + len(PREFIXES)), np.int32)
     shift = U64(64 - bits)
-    out[:, 0] = (mix(prefix.of(s, e) + U64(101)) >> shift).astype(np.int64)
+    out[:, 0] = (mix(prefix.of(s, e) + U64(101)) >> shift).astype(np.int32)
     for i, n in enumerate(PREFIXES):
         to = np.minimum(s + n, e)
         # a token shorter than n shares the number of its whole self
-        out[:, i + 1] = (mix(prefix.of(s, to) + (to - s).astype(U64)) >> shift).astype(np.int64)
+        out[:, i + 1] = (mix(prefix.of(s, to) + (to - s).astype(U64)) >> shift).astype(np.int32)
     return out, s, e, first
 
 
@@ -166,7 +166,8 @@ def token_labels(rows: np.ndarray, first: np.ndarray, y: np.ndarray, bits: int =
     ``common`` of the toxic texts have, and then, one by one, the suspect that
     explains most toxic texts not explained yet, while it explains ``least``."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pairs = np.unique(text[:, None] * (1 << bits) + rows)
+    cuts = [*range(0, len(y), 100), len(y)]  # some texts at a time bound the sort
+    pairs = np.concatenate([np.unique(text[first[a] : first[b], None] * (1 << bits) + rows[first[a] : first[b]]) for a, b in zip(cuts[:-1], cuts[1:])])
     of, feature = pairs >> bits, pairs & ((1 << bits) - 1)
     toxic = np.bincount(feature, weights=y[of], minlength=1 << bits)
     clean = np.bincount(feature, weights=1 - y[of], minlength=1 << bits)
@@ -191,7 +192,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, kept_out:
     if not texts:
         return None
     buf, offsets = flat(texts)
-    rows, _, _, first = features(buf, offsets)
+    parts = [features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
+    rows = np.concatenate([p[0] for p in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[3]) for p in parts]))])
+    del parts
     field = Field()
     start, size = chains(first)
     field.fit(rows, start, size, token_labels(rows, first, y))
