@@ -38,7 +38,7 @@ def clean_id(c: Column, kind: str = "string") -> Column:
 
 def to_number(c: Column) -> Column:
     """Quantity text as a double: commas and bars go, anything else is null."""
-    s = F.regexp_replace(strip(c.cast("string")), "[,|]", "")
+    s = strip(F.regexp_replace(c.cast("string"), "[,|]", ""))
     return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 

@@ -120,12 +120,13 @@ def code_candidates(ledger: DataFrame, scan: DataFrame, fuzzy: bool = False) ->
     description.  Cheap conditions are in the join, similarity above it."""
     codes = ledger.select("no_doc", "codigo").distinct()
     unknown = scan.where((F.col("q") > 0) & is_digits(F.col("codigo"))).join(codes, ["no_doc", "codigo"], "left_anti")
-    listed = ledger.where(is_digits(F.col("codigo"))).select("no_doc", F.col("codigo").alias("new_code"), F.col("q").alias("q_ext"), F.col("nombre_producto").alias("name_ext"))
+    name = lambda df: F.col("nombre_producto") if "nombre_producto" in df.columns else F.lit(None).cast("string")
+    listed = ledger.where(is_digits(F.col("codigo"))).select("no_doc", F.col("codigo").alias("new_code"), F.col("q").alias("q_ext"), name(ledger).alias("name_ext"))
     met = unknown.join(listed, "no_doc").where(F.abs(F.col("q_ext") - F.col("q")) <= TOLERANCE)
     edit = one_edit_apart(F.col("codigo"), F.col("new_code"))
     if not fuzzy:
         return met.where(edit).select("row_seq", "no_doc", "codigo", "q", "new_code", F.lit(1.0).alias("score"), F.lit(True).alias("strong"))
-    scored = met.withColumn("alike", seq_ratio("codigo", "new_code")).withColumn("product", description_similarity(F.col("nombre_producto"), F.col("name_ext")))
+    scored = met.withColumn("alike", seq_ratio("codigo", "new_code")).withColumn("product", description_similarity(name(scan), F.col("name_ext")))
     score = PRODUCT_WEIGHT * F.col("product") + CODE_WEIGHT * F.col("alike")
     judged = scored.withColumn("score", score).withColumn("strong", edit | (F.col("alike") >= STRONG_CODE))
     return judged.where(F.col("strong") | ((F.col("product") >= PRODUCT) & (F.col("score") >= SCORE))).select("row_seq", "no_doc", "codigo", "q", "new_code", "score", "strong")

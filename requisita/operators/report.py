@@ -71,7 +71,8 @@ def tag_detail(merged: DataFrame, outside: DataFrame) -> DataFrame:
 
 
 def one_per_file(scan: DataFrame) -> DataFrame:
-    return first_of(scan, ["archivo"], "row_seq").select("archivo", "archivo_hash", "no_doc", "no_doc_archivo")
+    files = first_of(scan, ["archivo"], "row_seq")
+    return files.select(*[c for c in ("archivo", "archivo_hash", "no_doc", "no_doc_archivo", "no_doc_fuente") if c in files.columns])
 
 
 def duplicate_copies(scan: DataFrame) -> DataFrame:

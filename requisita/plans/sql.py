@@ -28,7 +28,7 @@ NUM = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
 
 
 def to_number(c: str) -> str:
-    s = rf"regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '[,|]', '', 'g')"
+    s = rf"regexp_replace(regexp_replace({c}, '[,|]', '', 'g'), '^\s+|\s+$', '', 'g')"
     return f"CASE WHEN regexp_matches({s}, {NUM}) THEN TRY_CAST({s} AS DOUBLE) END"
 
 

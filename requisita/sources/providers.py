@@ -10,54 +10,57 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENS = "archivo string, dpi int, tok_seq long, text string, conf int, x int, y int, x2 int, y2 int, cx double, cy double, error string"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+_TOKEN_SCHEMA = [(name, _ARROW[kind]) for name, kind in (c.split(" ") for c in TOKENS.split(", "))]
 #: Files a batch, so that few images are in memory at a time.
 FILES_A_BATCH = 8
 
 
 def recognise_files(files: DataFrame, recognise: Callable[[bytes, int], list[dict]], dpis=(300, 400)) -> DataFrame:
     """Tokens of each file (archivo, content) at each resolution."""
+    columns = _TOKEN_SCHEMA
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in TOKENS.split(", ")]
-        for pdf in batches:
-            for name, content, dpi in zip(pdf["archivo"], pdf["content"], pdf["dpi"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = {"archivo": row["archivo"], "dpi": row["dpi"]}
                 try:
-                    found = recognise(content, int(dpi))
-                    rows = [{"archivo": name, "dpi": dpi, "tok_seq": i, **t} for i, t in enumerate(found)] or [{"archivo": name, "dpi": dpi, "error": "OCR sin resultados"}]
+                    found = recognise(bytes(row["content"]), row["dpi"])
+                    rows = [own | {"tok_seq": i, **t, "cx": (t["x"] + t["x2"]) / 2, "cy": (t["y"] + t["y2"]) / 2} for i, t in enumerate(found)]
+                    rows = rows or [own | {"error": "OCR sin resultados"}]
                 except Exception as e:  # noqa: BLE001  the file's error, not the job's
-                    rows = [{"archivo": name, "dpi": dpi, "error": str(e) or type(e).__name__}]
-                out = pd.DataFrame(rows).reindex(columns=names)
-                out["cx"], out["cy"] = (out["x"].astype(float) + out["x2"].astype(float)) / 2, (out["y"].astype(float) + out["y2"].astype(float)) / 2
-                yield out.astype({c: "Int64" for c in ("dpi", "tok_seq", "conf", "x", "y", "x2", "y2")})
+                    rows = [own | {"error": str(e) or type(e).__name__}]
+                yield pa.RecordBatch.from_pylist([{name: r.get(name) for name, _ in columns} for r in rows], schema=pa.schema(columns))
 
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_A_BATCH))
     each = files.select("archivo", "content", F.explode(F.array(*map(F.lit, dpis))).alias("dpi"))
-    return each.mapInPandas(run, TOKENS)
+    return each.mapInArrow(run, TOKENS)
 
 
 def ask_model(requests: DataFrame, ask: Callable[[str, bytes | None], str]) -> DataFrame:
     """Adds ``text``, an outside model's reply to each row's (prompt, image), and
     ``status``: ok, or error with null text."""
-    schema = requests.schema.add("text", "string").add("status", "string")
+    schema = T.StructType([*requests.schema.fields, T.StructField("text", T.StringType()), T.StructField("status", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             texts, status = [], []
-            for prompt, image in zip(pdf["prompt"], pdf["image"]):
+            for prompt, image in zip(batch.column("prompt").to_pylist(), batch.column("image").to_pylist()):
                 try:
                     texts.append(ask(prompt, image))
                     status.append("ok")
                 except Exception:  # noqa: BLE001
                     texts.append(None)
                     status.append("error")
-            yield pdf.assign(text=texts, status=status)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(status, pa.string())], names=[*batch.schema.names, "text", "status"])
 
-    return requests.mapInPandas(run, schema)
+    return requests.mapInArrow(run, schema)
 
 
 def call_counts(replies: DataFrame) -> DataFrame:
