@@ -189,7 +189,9 @@ def warehouse_receipt(tokens: DataFrame, master: DataFrame, master_is_empty: boo
 
 
 def page_items(tokens: DataFrame, master: DataFrame) -> DataFrame:
-    """Items of every page; a page that is a goods receipt is read as one."""
+    """Items of every page; a page that is a goods receipt is read as one.  The
+    tokens, which many steps read, are written once."""
+    tokens = keep(tokens, "tokens")
     receipts = keep(warehouse_receipt(tokens, master), "receipts")
     forms = keep(tokens.join(receipts.select(PAGE).distinct(), PAGE, "left_anti"), "forms")
     return extract_items(forms, detect_columns(forms), master).unionByName(receipts)
