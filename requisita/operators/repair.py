@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,55 +28,65 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def code_sets(ledger: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct codes of each document; of the scan, only those dispatched."""
-    return ledger.select("no_doc", "codigo").distinct(), scan.where("q > 0").select("no_doc", "codigo").distinct()
+def code_sets(ledger: DataFrame, scan: DataFrame) -> DataFrame:
+    """no_doc, codigo, listed, seen: which side has each distinct code of a
+    document; of the scan, only what was dispatched."""
+    side = lambda df, listed: df.select("no_doc", "codigo", F.lit(listed).alias("listed"), F.lit(not listed).alias("seen"))
+    both = side(ledger, True).unionByName(side(scan.where("q > 0"), False))
+    return both.groupBy("no_doc", "codigo").agg(F.bool_or("listed").alias("listed"), F.bool_or("seen").alias("seen"))
+
+
+def code_counts(codes: DataFrame) -> DataFrame:
+    """no_doc, n_listed, n_seen, n_both: one row for each document."""
+    return codes.groupBy("no_doc").agg(F.count_if("listed").alias("n_listed"), F.count_if("seen").alias("n_seen"), F.count_if(F.col("listed") & F.col("seen")).alias("n_both"))
+
+
+def _score(common: Column) -> Column:
+    return common / F.greatest("n_seen", "n_listed")
 
 
-def overlap_scores(ledger: DataFrame, scan: DataFrame, pairs: DataFrame) -> DataFrame:
-    """scanned, target, score: common codes over the larger set."""
-    listed, seen = code_sets(ledger, scan)
-    sizes = lambda s, name: s.groupBy("no_doc").agg(F.count(F.lit(1)).alias(name))
+def overlap_scores(codes: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """scanned, target, common, score: common codes over the larger set."""
     common = (
-        pairs.join(seen.withColumnRenamed("no_doc", "scanned"), "scanned")
-        .join(listed.withColumnRenamed("no_doc", "target"), ["target", "codigo"])
+        pairs.join(codes.where("seen").select(F.col("no_doc").alias("scanned"), "codigo"), "scanned")
+        .join(codes.where("listed").select(F.col("no_doc").alias("target"), "codigo"), ["target", "codigo"])
         .groupBy("scanned", "target")
         .agg(F.count(F.lit(1)).alias("common"))
     )
     return (
-        common.join(sizes(seen, "n_seen").withColumnRenamed("no_doc", "scanned"), "scanned")
-        .join(sizes(listed, "n_listed").withColumnRenamed("no_doc", "target"), "target")
-        .select("scanned", "target", "common", (F.col("common") / F.greatest("n_seen", "n_listed")).alias("score"))
+        common.join(counts.select(F.col("no_doc").alias("scanned"), "n_seen"), "scanned")
+        .join(counts.select(F.col("no_doc").alias("target"), "n_listed"), "target")
+        .select("scanned", "target", "common", _score(F.col("common")).alias("score"))
     )
 
 
 def number_pairs(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Pairs of numbers that differ in one place, or where one ends with the
-    other, by equi-joins on masked numbers and on suffixes."""
-    masked = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.overlay(c, F.lit("_"), i, F.lit(1))))
-    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.length(c))))
+    other, by one equi-join on masked numbers and on suffixes."""
+    each = lambda c, kind, part: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.lit(kind), part(c, i)))
+    masks = lambda c: each(c, "mask ", lambda c, i: F.overlay(c, F.lit("_"), i, F.lit(1)))
+    ends = lambda c, kind: each(c, kind, lambda c, i: F.substring(c, i, F.length(c)))
+    whole = lambda c, kind: F.array(F.concat(F.lit(kind), c))
     scanned, target = F.col("scanned"), F.col("target")
-    edits = docs.withColumn("key", masked(scanned)).join(targets.withColumn("key", masked(target)), "key")
-    longer = docs.withColumn("key", ends(scanned)).join(targets.withColumn("key", target), "key")
-    shorter = docs.withColumn("key", scanned).join(targets.withColumn("key", ends(target)), "key")
-    return edits.unionByName(longer).unionByName(shorter).where(scanned != target).select("scanned", "target").distinct()
+    left = docs.withColumn("key", F.explode(F.concat(masks(scanned), ends(scanned, "longer "), whole(scanned, "shorter "))))
+    right = targets.withColumn("key", F.explode(F.concat(masks(target), whole(target, "longer "), ends(target, "shorter "))))
+    return left.join(right, "key").where(scanned != target).select("scanned", "target").distinct()
 
 
 def doc_candidates(ledger: DataFrame, scan: DataFrame) -> DataFrame:
     """scanned, target, score, own, known: ledger documents that a badly
     matching scanned document may be."""
-    listed, seen = code_sets(ledger, scan)
-    docs = seen.select(F.col("no_doc").alias("scanned")).distinct()
-    targets = listed.select(F.col("no_doc").alias("target")).distinct()
-    itself = overlap_scores(ledger, scan, docs.withColumn("target", F.col("scanned"))).select("scanned", F.col("score").alias("own"))
-    known = targets.select(F.col("target").alias("scanned"), F.lit(True).alias("known"))
-    bad = docs.join(itself, "scanned", "left").join(known, "scanned", "left").select("scanned", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("known", F.lit(False)).alias("known")).where(F.col("own") < OWN_IS_FINE)
+    codes = keep(code_sets(ledger, scan), "codes")
+    counts = keep(code_counts(codes), "counts")
+    targets = counts.where("n_listed > 0").select(F.col("no_doc").alias("target"))
+    seen = counts.where("n_seen > 0").select(F.col("no_doc").alias("scanned"), _score(F.col("n_both")).alias("own"), (F.col("n_listed") > 0).alias("known"))
+    bad = seen.where(F.col("own") < OWN_IS_FINE)
     pairs = number_pairs(bad.select("scanned"), targets)
     for column in ("no_doc_ocr_local", "no_doc_gemini"):
         if column in scan.columns:
             read = scan.select(F.col("no_doc").alias("scanned"), clean_id(F.col(column)).alias("target")).where("target <> '' and target <> scanned").distinct()
             pairs = pairs.unionByName(read.join(targets, "target", "left_semi").join(bad, "scanned", "left_semi").select("scanned", "target"))
-    return overlap_scores(ledger, scan, pairs.distinct()).where(F.col("score") >= ENOUGH).join(bad, "scanned").select("scanned", "target", "score", "own", "known")
+    return overlap_scores(codes, counts, pairs.distinct()).where(F.col("score") >= ENOUGH).join(bad, "scanned").select("scanned", "target", "score", "own", "known")
 
 
 def choose_targets(candidates: DataFrame) -> DataFrame:
@@ -84,19 +96,22 @@ def choose_targets(candidates: DataFrame) -> DataFrame:
     targets, so each round decides many; there are as many rounds as the longest
     chain of documents that contend.  Taken targets are out of all later
     comparisons, ambiguity included."""
-    left, chosen, step = keep(candidates, "candidates"), None, 0
-    while True:
-        first = left.groupBy("target").agg(F.min("scanned").alias("first"))
-        waits = left.join(first, "target").groupBy("scanned").agg(F.max(F.col("first") < F.col("scanned")).alias("waits"))
-        ready = left.join(waits.where("not waits").select("scanned"), "scanned", "left_semi")
-        order = W.partitionBy("scanned").orderBy(F.desc("score"), "target")
-        ranked = ready.where(~F.col("known") | (F.col("score") >= F.col("own") + BEATS_OWN)).withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
-        now = keep(ranked.where("r = 1").where(F.col("next").isNull() | (F.col("score") - F.col("next") >= LEAD)).select("scanned", "target"), f"chosen-{step}")
-        chosen = now if chosen is None else chosen.unionByName(now)
-        left = keep(left.join(ready.select("scanned").distinct(), "scanned", "left_anti").join(now.select("target"), "target", "left_anti"), f"left-{step}")
-        step += 1
-        if left.isEmpty():
-            return chosen
+    marked, rounds = keep(candidates, "candidates").withColumns({"waits": F.lit(True), "chosen": F.lit(False)}), []
+    by_target, by_scanned = W.partitionBy("target"), W.partitionBy("scanned")
+    # only eligible targets count, and those come first
+    eligible = ~F.col("known") | (F.col("score") >= F.col("own") + BEATS_OWN)
+    order = by_scanned.orderBy(F.desc("eligible"), F.desc("score"), "target")
+    leads = F.col("next").isNull() | (F.col("score") - F.col("next") >= LEAD)
+    while not rounds or not marked.where("waits").isEmpty():
+        left = marked.where("waits").join(marked.where("chosen").select("target"), "target", "left_anti")
+        # by target once for the join and the minimum, by document once for the rest
+        wanted = left.withColumn("waits", F.min("scanned").over(by_target) < F.col("scanned"))
+        ranked = wanted.withColumns({"waits": F.max("waits").over(by_scanned), "eligible": eligible})
+        placed = ranked.withColumn("r", F.row_number().over(order)).withColumn("next", F.lead(F.when(F.col("eligible"), F.col("score"))).over(order))
+        decided = placed.withColumn("chosen", ~F.col("waits") & F.col("eligible") & (F.col("r") == 1) & leads)
+        marked = keep(decided.select(*candidates.columns, "waits", "chosen"), f"round-{len(rounds)}")
+        rounds.append(marked.where("chosen").select("scanned", "target"))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def renumber(ledger: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from ..functions.scalars import clean_id, date_from_filename, date_range_from_fi
 from ..operators import dedup, reconcile, repair, report
 from ..sources import adapters
 from ..sources.adapters import ledger, scan, table
+from ..sources.scratch import keep
 from .sql import block, sql, to_number as sql_number
 
 QUERIES: dict = {}
@@ -76,9 +77,10 @@ def copy_quality(spark, d):
 
 @query(sql("SELECT scanned, target, common, score FROM scored WHERE scanned = target", "scored"))
 def overlap_score(spark, d):
-    listed, seen = copies(spark, d)
-    pairs = seen.select(F.col("no_doc").alias("scanned")).distinct().withColumn("target", F.col("scanned"))
-    return repair.overlap_scores(listed, seen, pairs)
+    codes = keep(repair.code_sets(*copies(spark, d)), "codes")
+    counts = repair.code_counts(codes)
+    pairs = counts.where("n_seen > 0").select(F.col("no_doc").alias("scanned"), F.col("no_doc").alias("target"))
+    return repair.overlap_scores(codes, counts, pairs)
 
 
 @query(sql("SELECT * FROM candidates", "candidates"))
@@ -229,8 +231,8 @@ block("one_file", "SELECT archivo, arg_min(archivo_hash, row_seq) AS archivo_has
 
 
 def whole_report(spark, d):
-    seen = prepared(spark, d)[1]
-    both = merged(spark, d)
+    seen = keep(prepared(spark, d)[1], "seen")
+    both = keep(merged(spark, d), "merged")
     summary = report.document_summary(both)
     outside = report.out_of_range(summary, both, seen, ledger(spark, d))
     flags = seen.withColumn("no_doc_coincide_archivo", F.col("no_doc_archivo") == F.col("no_doc"))
