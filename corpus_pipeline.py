@@ -3,7 +3,7 @@ the one before it wrote."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requisita.llm._shared import Workspace, table
@@ -19,25 +19,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    return docs.join(decided.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _name() -> Column:
+    """A fingerprint of (doc_id, text): names a row where ids repeat or lack."""
+    return F.xxhash64(F.col("doc_id").cast("long"), _text())
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
-    return _kept(docs, dedup_exact(docs))
+    """One row of each set of equal texts, that with the largest doc_id; of rows
+    with the same doc_id and text, the least by the other columns."""
+    key = lambda sha: F.concat_ws(" ", sha, F.col("doc_id").cast("long").cast("string"))
+    kept = dedup_exact(docs).where("kept").select(key(F.col("text_sha256")).alias("key")).distinct()
+    # folded before the shuffle, and dealt by the key that the join needs too
+    once = docs.groupBy(key(F.sha2(_text(), 256)).alias("key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.join(kept, "key", "left_semi").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return _kept(docs, link_components(docs))
+    """One row of each component of near-duplicates, that with the least doc_id.
+    Texts that share a doc_id are documents of their own."""
+    named = docs.where("doc_id is not null").withColumn("name", _name())
+    linked = link_components(named.select(F.col("name").alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), "component_id")
+    best = linked.join(named.select("name", "doc_id"), "name").groupBy("component_id").agg(F.min(F.struct("doc_id", "name")).alias("least"))
+    return named.join(best.select("least.name"), "name", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that occur elsewhere too; a
     document that loses nothing keeps its text as it was."""
-    cut = dedup_substrings(docs).select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
-    rest = docs.drop("text", "n_chars").join(cut, "doc_id")
+    key = ["name", "mark"]
+    cut = dedup_substrings(docs.select(_name().alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), "mark", "text").dropDuplicates(key)
+    rest = docs.where("doc_id is not null").withColumn("name", _name()).withColumn("mark", F.hash(_text())).drop("text", "n_chars").join(cut, key)
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
