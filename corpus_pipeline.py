@@ -40,11 +40,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates, that with the least doc_id.
-    Texts that share a doc_id are documents of their own."""
+    Texts that share a doc_id are documents of their own; rows without doc_id are
+    linked with nothing and all stay."""
     named = docs.where("doc_id is not null").withColumn("name", _name())
     linked = link_components(named.select(F.col("name").alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), "component_id")
     best = linked.join(named.select("name", "doc_id"), "name").groupBy("component_id").agg(F.min(F.struct("doc_id", "name")).alias("least"))
-    return named.join(best.select("least.name"), "name", "left_semi").select(*docs.columns)
+    found = named.join(best.select("least.name"), "name", "left_semi").select(*docs.columns)
+    return found.unionByName(docs.where("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document that loses nothing keeps its text as it was."""
     key = ["name", "mark"]
     cut = dedup_substrings(docs.select(_name().alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), "mark", "text").dropDuplicates(key)
-    rest = docs.where("doc_id is not null").withColumn("name", _name()).withColumn("mark", F.hash(_text())).drop("text", "n_chars").join(cut, key)
+    rest = docs.withColumn("name", _name()).withColumn("mark", F.hash(_text())).drop("text", "n_chars").join(cut, key)
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -72,3 +72,12 @@ def test_rows_that_share_an_id(spark, tmp_path):
     rows += [(20, near), (20, passage(32, 50)), (21, passage(33, 50)), (21, passage(34, 50)), (22, passage(34, 50)), (23, near + " more"), (23, passage(35, 40))]
     want = Counter(d for d, w in check_stages(spark, tmp_path, rows) if len(w) > 35)
     assert (want[15], want[20], want[21], want[22], want[23]) == (1, 2, 1, 1, 1)
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    # the same passage in two of them and in 30; one text twice, one that 30 has too
+    shared = passage(41, 50)
+    rows = [(r[0], r[1]) for r in awkward()] + [(30, shared + " " + passage(42, 40)), (30, passage(47, 40))]
+    rows += [(None, passage(43, 40) + " " + shared), (None, shared + "\n" + passage(44, 45)), (None, passage(45, 70)), (None, passage(45, 70)), (None, passage(47, 40))]
+    want = Counter((d, len(w)) for d, w in check_stages(spark, tmp_path, rows))
+    assert [want[None, n] for n in (40, 45, 60, 70)] == [1, 1, 1, 1] and want[30, 40] == 2
