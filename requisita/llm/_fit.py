@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a classifier is fitted on at most, and the
-#: bytes that a row gives at most (a slice at a hashed place of a longer text).
-SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 6_000
+#: characters that a row gives at most where texts come to the driver (a slice at
+#: a hashed place of a longer text).
+SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 20_000
 
 
 def remainder(of: Column, modulus: int) -> Column:
@@ -21,29 +22,40 @@ def held_out(modulus: int, kept_out: int) -> Column:
     return F.coalesce(remainder(F.col("doc_id"), modulus) == kept_out, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, kept_out: int, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
-    """Texts, labels and weights (which restore the share of each class among
-    all rows that may be learnt from).  Ids are picked from the label table
-    alone, and the few picked ones broadcast, so no text is shuffled."""
+def picked_labels(labels: DataFrame, label: str, modulus: int, kept_out: int, rows: int = SAMPLE_ROWS):
+    """doc_id and y of the rows to learn from (None: there are none), picked from
+    the label table alone, and the number of usable rows of each class."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(modulus, kept_out))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y in sorted(counts):
         some = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = some if picked is None else picked.unionByName(some)
-    if picked is None:
-        return [], np.zeros(0), np.zeros(0)
-    at = 1 + F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.greatest(F.length("text") - chars, F.lit(1)))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked.distinct()), "doc_id")
-    got = found.select("doc_id", "y", F.coalesce(F.substr("text", at, F.lit(chars)), F.lit("")).alias("text")).orderBy("doc_id", "y", "text").limit(4 * rows).collect()
-    y = np.array([r["y"] for r in got], np.float64)
+    return picked and picked.distinct(), counts
+
+
+def class_weights(y: np.ndarray, counts: dict) -> np.ndarray:
+    """Weights that restore the share of each class among all usable rows."""
     weight = np.ones(len(y))
     total = sum(counts.values())
     for c, n in counts.items():
         share = (y == c).mean() if len(y) else 0
         if share:
             weight[y == c] = n / total / share
-    return [r["text"] for r in got], y, weight
+    return weight
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, kept_out: int, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
+    """Texts, labels and weights.  The few picked ids are broadcast, so no text
+    is shuffled."""
+    picked, counts = picked_labels(labels, label, modulus, kept_out, rows)
+    if picked is None:
+        return [], np.zeros(0), np.zeros(0)
+    at = 1 + F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.greatest(F.length("text") - chars, F.lit(1)))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    got = found.select("doc_id", "y", F.coalesce(F.substr("text", at, F.lit(chars)), F.lit("")).alias("text")).orderBy("doc_id", "y", "text").limit(4 * rows).collect()
+    y = np.array([r["y"] for r in got], np.float64)
+    return [r["text"] for r in got], y, class_weights(y, counts)
 
 
 def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._fit import Adam, flat, held_out, labelled_sample, sigmoid
+from ._fit import SAMPLE_ROWS, Adam, class_weights, held_out, picked_labels, sigmoid
 from ._seq import U64, Prefix, alphabet, chunks, column_bytes, mix
 from ._shared import bare_documents, tune
 
@@ -67,19 +67,44 @@ def index_vectors(buckets: int, dimensions: int, ones: int = 4) -> tuple[np.ndar
     return (h % U64(dimensions)).astype(np.int64), np.where((h >> U64(40)) & U64(1), 1.0, -1.0)
 
 
-def word_vectors(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, reach: int = 2) -> np.ndarray:
-    """Context vectors summed over the sample; shapes have index vectors only."""
+def _context(buckets: int, dimensions: int, reach: int):
+    """Sums over all texts of a task: a row for each bucket that has any."""
+
+    def run(batches):
+        place, sign = index_vectors(buckets, dimensions)
+        total = np.zeros(buckets * dimensions)
+        for batch in batches:
+            buf, offsets = column_bytes(batch.column("text"))
+            for i, j in chunks(offsets):
+                word, _, text = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets)
+                for d in range(1, reach + 1):
+                    same = text[d:] == text[:-d]
+                    for a, b in ((word[d:][same], word[:-d][same]), (word[:-d][same], word[d:][same])):
+                        for e in range(place.shape[1]):
+                            total += np.bincount(a * dimensions + place[b, e], weights=sign[b, e], minlength=buckets * dimensions)
+        sums = total.reshape(buckets, dimensions).astype(np.int64)
+        on = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(c) for c in sums[on].T)], names=["bucket", *(f"c{d}" for d in range(dimensions))])
+
+    return run
+
+
+def context_sums(texts: DataFrame, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, reach: int = 2) -> np.ndarray:
+    """Sum of the index vectors around each bucket's words.  All terms are whole
+    numbers, so the order of texts does not matter."""
+    names = [f"c{d}" for d in range(dimensions)]
+    parts = texts.select("text").mapInArrow(_context(buckets, dimensions, reach), "bucket int, " + ", ".join(f"{c} long" for c in names))
+    got = parts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    total = np.zeros((buckets, dimensions))
+    total[got.column("bucket").to_numpy()] = np.column_stack([got.column(c).to_numpy() for c in names])
+    return total
+
+
+def word_vectors(total: np.ndarray) -> np.ndarray:
+    """Normalised context sums plus own index vectors; shapes have only those."""
+    buckets, dimensions = total.shape
     place, sign = index_vectors(buckets, dimensions)
-    total = np.zeros(buckets * dimensions)
-    for i, j in chunks(offsets):
-        word, _, text = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets)
-        for d in range(1, reach + 1):
-            same = text[d:] == text[:-d]
-            for a, b in ((word[d:][same], word[:-d][same]), (word[:-d][same], word[d:][same])):
-                for e in range(place.shape[1]):
-                    total += np.bincount(a * dimensions + place[b, e], weights=sign[b, e], minlength=buckets * dimensions)
-    vectors = total.reshape(buckets, dimensions)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    vectors = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     own = np.zeros((buckets, dimensions))
     for j in range(place.shape[1]):
         np.add.at(own, (np.arange(buckets), place[:, j]), sign[:, j] / 2)
@@ -134,15 +159,33 @@ class Network:
         return sigmoid(self._logit(x) / self.temperature)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_out: int = 0):
-    """Word vectors and network, or None where nothing can be learnt from."""
-    texts, y, weight = labelled_sample(docs, labels, "quality", modulus, kept_out)
-    if not texts:
+def _pooled(vectors: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            buf, offsets = column_bytes(batch.column("text"))
+            for i, j in chunks(offsets):
+                x = pool(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vectors)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().astype(np.float64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i), lists], names=["doc_id", "y", "x"])
+
+    return run
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_out: int = 0, rows: int = SAMPLE_ROWS):
+    """Word vectors and network, or None where nothing can be learnt from.  Whole
+    texts are read on executors; sums and pooled numbers come to the driver."""
+    picked, counts = picked_labels(labels, "quality", modulus, kept_out, rows)
+    if picked is None:
+        return None
+    sample = bare_documents(docs).join(F.broadcast(picked), "doc_id")
+    vectors = word_vectors(context_sums(sample))
+    pooled = sample.mapInArrow(_pooled(vectors), "doc_id long, y int, x array<double>")
+    got = pooled.orderBy("doc_id", "y", "x").limit(4 * rows).toArrow().combine_chunks()
+    if not len(got):
         return None
-    buf, offsets = flat(texts)
-    vectors = word_vectors(buf, offsets)
-    x = np.vstack([pool(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vectors) for i, j in chunks(offsets)])
-    return vectors, Network(x, y, weight)
+    y = got.column("y").to_numpy().astype(np.float64)
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    return vectors, Network(x, y, class_weights(y, counts))
 
 
 def _score(model, threshold: float):

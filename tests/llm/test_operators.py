@@ -274,3 +274,19 @@ def test_toxic_spans(spark):
     found = score_toxicity(docs, labels).join(docs, "doc_id").where("predicted = 1").collect()
     hit = [r.text.encode()[s.start : s.end].decode().lower() for r in found for s in r.spans]
     assert len(hit) > 50 and sum(h.startswith(("dolt", "oaf")) for h in hit) > 0.9 * len(hit)
+
+
+def test_classifiers_learn_from_the_whole_sample(spark):
+    from requisita.llm._fit import labelled_sample
+    from requisita.llm.quality import fit_quality, tokens, word_vectors
+
+    text = F.when(F.col("id") == 7, F.concat(F.repeat(F.lit("ab "), 15_000), F.lit("zebra quagga"))).otherwise(F.concat(F.lit("plain words "), "id"))
+    docs = spark.range(3800).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"), (F.col("doc_id") % 2).alias("toxic"))
+    texts, y, weight = labelled_sample(docs, labels, "toxic", 5, -1)
+    assert (len(texts), y.sum(), max(map(len, texts))) == (3800, 1900, 20_000) and (weight == 1).all()
+    vectors, _ = fit_quality(docs, labels, 5, -1)
+    data = b"zebra"
+    bucket = tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0]
+    # the end of a text of 45,000 characters counts
+    assert not np.allclose(vectors[bucket], word_vectors(np.zeros(vectors.shape))[bucket])
