@@ -2,7 +2,7 @@
 
 Random indexing: each of ``buckets`` hashed words has a sparse index vector of
 +1 and -1; a word's vector is the sum of the index vectors of the words around
-it in the sample, normalised, plus its own.  Words are runs of one class of
+it in all documents, normalised, plus its own.  Words are runs of one class of
 bytes (small letters, capitals, digits, signs), and each also counts by its
 shape (class and length), so that words never seen still say something.  The
 vectors of all words of the whole text are pooled into their mean, its length
@@ -172,13 +172,14 @@ def _pooled(vectors: np.ndarray):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_out: int = 0, rows: int = SAMPLE_ROWS):
-    """Word vectors and network, or None where nothing can be learnt from.  Whole
-    texts are read on executors; sums and pooled numbers come to the driver."""
+    """Word vectors of all documents and a network fitted on labelled ones, or
+    None where nothing can be learnt from.  Whole texts are read on executors;
+    sums and pooled numbers come to the driver."""
     picked, counts = picked_labels(labels, "quality", modulus, kept_out, rows)
     if picked is None:
         return None
     sample = bare_documents(docs).join(F.broadcast(picked), "doc_id")
-    vectors = word_vectors(context_sums(sample))
+    vectors = word_vectors(context_sums(bare_documents(docs)))
     pooled = sample.mapInArrow(_pooled(vectors), "doc_id long, y int, x array<double>")
     got = pooled.orderBy("doc_id", "y", "x").limit(4 * rows).toArrow().combine_chunks()
     if not len(got):

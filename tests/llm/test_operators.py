@@ -290,3 +290,15 @@ def test_classifiers_learn_from_the_whole_sample(spark):
     bucket = tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0]
     # the end of a text of 45,000 characters counts
     assert not np.allclose(vectors[bucket], word_vectors(np.zeros(vectors.shape))[bucket])
+
+
+def test_word_vectors_cover_all_documents(spark):
+    from requisita.llm.quality import fit_quality, tokens, word_vectors
+
+    docs = spark.createDataFrame([(i, f"plain words {i}") for i in range(20)] + [(99, "zebra quagga"), (None, "okapi quagga"), (98, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    vectors, _ = fit_quality(docs, labels, 5, -1)
+    alone = word_vectors(np.zeros(vectors.shape))
+    for data in (b"zebra", b"okapi"):  # in no labelled document
+        bucket = tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0]
+        assert not np.allclose(vectors[bucket], alone[bucket])
