@@ -34,11 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def alphabet() -> np.ndarray:
-    """256 fixed random 64-bit symbols, one for each byte."""
-    if "alphabet" not in _tables:
-        _tables["alphabet"] = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    return _tables["alphabet"]
+def alphabet(seed: int = 0) -> np.ndarray:
+    """256 fixed random 64-bit symbols, one for each byte; others for each seed."""
+    if ("alphabet", seed) not in _tables:
+        _tables["alphabet", seed] = mix((np.arange(1, 257, dtype=U64) + U64(256 * seed)) * U64(0xD6E8FEB86659FD93))
+    return _tables["alphabet", seed]
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -142,9 +142,9 @@ def runs(member: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return s, e, np.searchsorted(s, offsets)
 
 
-def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = BASES[0], seed: int = 0) -> np.ndarray:
     """A 64-bit fingerprint of each word."""
-    p = Prefix(alphabet()[buf], base)
+    p = Prefix(alphabet(seed)[buf], base)
     return mix(p.of(s, e) + (e - s).astype(U64) * U64(0xA0761D6478BD642F))
 
 
@@ -162,7 +162,7 @@ class Extents:
     """The windows of each text, grouped by their minimiser.
 
     A window is ``width`` consecutive symbols of one text.  Its minimiser is the
-    k-gram in it with the least fingerprint (the leftmost of equal ones), which
+    k-gram in it with the least upper half of its fingerprint (the leftmost of equal ones), which
     depends on nothing but the window, so equal windows have equal minimisers at
     equal places.  Consecutive windows with one minimiser make an extent.
 
@@ -181,8 +181,8 @@ class Extents:
         if n < width:
             return
         grams = mix(self.prefix.grams(k))
-        bits = U64(max(8, int(n).bit_length()))
-        low = (U64(1) << bits) - U64(1)
+        # the same bits decide whatever the length, so that equal windows agree in every chunk
+        low = (U64(1) << U64(32)) - U64(1)
         least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U64), width - k + 1)
         lengths = np.diff(bounds)
         ends = np.repeat(bounds[1:], lengths)[: n - width + 1]

@@ -13,15 +13,21 @@ BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches bound the memory of the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches bound the memory of the Python workers.  The setting is
+    only ever lowered, so that no plan gets larger batches than it asked for."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in
-    tests on one machine) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset, a temporary
+    one on a single machine; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = getattr(spark, "_requisita_shared", None) or tempfile.mkdtemp(prefix="requisita-")
         spark._requisita_shared = found
     return found.rstrip("/")
@@ -31,25 +37,27 @@ class Workspace:
     """Written tables of one run.  ``keep`` cuts the lineage: a lost executor
     costs the tasks that were running, never a finished table."""
 
+    #: Shuffle files go as soon as the table that they were made for is written.
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/requisita-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        """Deletes a table that no pending plan reads any more, and lets Spark
-        clean the shuffle files that only it needed."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        """Deletes a table that no pending plan reads any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        import gc
-
-        gc.collect()
-        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

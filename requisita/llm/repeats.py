@@ -10,8 +10,16 @@ each window, is shuffled: about one in sixty bytes or ten words.
 * the rest are *open*: other extents share the minimiser but not all symbols.
   Their windows are compared one by one, by the caller's method.
 
-Two fingerprints of 64 bits, one of them over other symbols than the other,
-stand behind every equality.
+Repeated extents are then edges of a graph whose nodes are the places between
+them.  An edge that is always followed by one and the same other edge, which
+always follows it, is joined with that one (`compact`), so that a passage that
+is copied as a whole is one *path*, however long.
+
+All of this goes by fingerprints.  What they call equal is proven in the end:
+`occurrences` gives the source coordinates of each path, the caller brings the
+symbols that stand there, and `differ` compares them.  If any differ, the caller
+searches again under other fingerprints.  Equal windows have equal fingerprints
+under any, so a search that is proven has missed nothing.
 """
 
 from __future__ import annotations
@@ -21,36 +29,70 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._seq import U64, Extents, alphabet, chunks, column_bytes, spans_mask, word_hashes, words
 from ._shared import Workspace, bare_documents, tune
 
 KEY = ["doc_id", "mark"]
+KEYS = "doc_id long, mark long"
+#: (seed, bits) of the fingerprints of symbols.  Fewer bits are for tests.
+PRINTS = (0, 64)
+
+
+def mark_of(text: Column) -> Column:
+    """Tells rows of one doc_id (or of none) apart by their text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, text.  ``mark`` tells rows of one doc_id apart; rows that
-    are equal in both get equal results, and count as repeats of each other."""
-    return bare_documents(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("mark", F.hash("text"))
+    """doc_id, mark, text.  Rows that are equal in both get equal results, and
+    count as repeats of each other."""
+    return bare_documents(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("mark", mark_of(F.col("text")))
+
 
+def weaken(symbols: np.ndarray, bits: int) -> np.ndarray:
+    return symbols if bits >= 64 else symbols & U64((1 << bits) - 1)
 
-def symbols_of(unit: str, buf: np.ndarray, offsets: np.ndarray):
+
+def symbols_of(unit: str, buf: np.ndarray, offsets: np.ndarray, prints=PRINTS):
     """Symbols and text bounds of a chunk: its bytes, or its words."""
+    seed, bits = prints
     if unit == "byte":
-        return alphabet()[buf], offsets, None
+        return weaken(alphabet(seed), bits)[buf], offsets, None
     s, e, first = words(buf, offsets)
-    return word_hashes(buf, s, e), first, (s, e)
+    return weaken(word_hashes(buf, s, e, seed=seed), bits), first, (s, e)
+
+
+class Content:
+    """Compares ranges of symbols by what they are, not by fingerprints."""
 
+    def __init__(self, buf: np.ndarray, places):
+        if places is None:
+            self.size, self.at, self.bytes = None, None, buf
+        else:
+            s, e = places
+            self.size = e - s
+            self.at = np.concatenate([[0], np.cumsum(self.size)])
+            self.bytes = buf[spans_mask(len(buf), s, e)]
 
-def _extent_rows(unit: str, width: int, k: int) -> Callable:
+    def same(self, a: int, b: int, n: int) -> bool:
+        if self.size is None:
+            return np.array_equal(self.bytes[a : a + n], self.bytes[b : b + n])
+        at = self.at
+        return np.array_equal(self.size[a : a + n], self.size[b : b + n]) and np.array_equal(self.bytes[at[a] : at[a + n]], self.bytes[at[b] : at[b + n]])
+
+
+def _extent_rows(unit: str, width: int, k: int, prints) -> Callable:
     def run(batches):
         for batch in batches:
             buf, offsets = column_bytes(batch.column("text"))
             for i, j in chunks(offsets):
                 own = offsets[i : j + 1] - offsets[i]
-                symbols, bounds, _ = symbols_of(unit, buf[offsets[i] : offsets[j]], own)
+                chunk = buf[offsets[i] : offsets[j]]
+                symbols, bounds, places = symbols_of(unit, chunk, own, prints)
                 x = Extents(symbols, bounds, width, k)
                 if not len(x.first):
                     continue
@@ -63,9 +105,17 @@ def _extent_rows(unit: str, width: int, k: int) -> Callable:
                 new[1:], new[0] = ~new[1:], True
                 heads = np.flatnonzero(new)
                 n = np.diff(np.append(heads, len(order)))
-                at = order[heads]
-                again = np.repeat(n > 1, n)
-                yield _rows(batch, i + x.text[at], first[at], last[at], x.gram[at], x.body[at], n)
+                content, apart = None, np.zeros(len(heads), bool)
+                for h in np.flatnonzero(n > 1):
+                    content = content or Content(chunk, places)
+                    a, *rest = order[heads[h] : heads[h] + n[h]]
+                    size = last[a] - first[a] + width
+                    apart[h] = not all(last[b] - first[b] + width == size and content.same(x.first[a], x.first[b], size) for b in rest)
+                folded = n * ~apart
+                at = np.concatenate([order[heads[~apart]], order[np.repeat(apart, n)]])
+                count = np.concatenate([n[~apart], np.ones(n[apart].sum(), np.int64)])
+                yield _rows(batch, i + x.text[at], first[at], last[at], x.gram[at], x.body[at], count)
+                again = np.repeat(folded > 1, n)
                 if again.any():
                     more = np.sort(order[again])
                     t, f, l = x.text[more], first[more], last[more]
@@ -88,49 +138,93 @@ def _rows(batch, at, first, last, gram, body, n) -> pa.RecordBatch:
 
 @dataclass
 class Repeats:
-    """known: windows [first, last] of documents that repeat.  open: one extent
-    of each class of the grams that have extents of one occurrence left; alone
-    marks those, parts says how many parts a large gram is dealt to, part which."""
+    """known: extents [first, last] of documents that repeat, with their class
+    (null: compared already, within their text).  open: one extent of each class
+    of the grams that have extents of one occurrence left; alone marks those,
+    parts says how many parts a large gram is dealt to, part which."""
 
     known: DataFrame
     open: DataFrame
-    texts: DataFrame
 
 
-def find(docs: DataFrame, work: Workspace, unit: str, width: int, k: int, most: int = 20_000) -> Repeats:
-    """most: classes of one gram that one task may get."""
-    tune(docs.sparkSession)
-    texts = keyed(docs)
-    schema = "doc_id long, mark int, first int, last int, gram long, body long, n int"
-    extents = work.keep(texts.mapInArrow(_extent_rows(unit, width, k), schema), "extents")
+def find(texts: DataFrame, work: Workspace, unit: str, width: int, k: int, most: int = 20_000, prints=PRINTS) -> Repeats:
+    """texts: of ``keyed``; most: classes of one gram that one task may get."""
+    tune(texts.sparkSession)
+    schema = f"{KEYS}, first int, last int, gram long, body long, n int"
+    extents = work.keep(texts.mapInArrow(_extent_rows(unit, width, k, prints), schema), "extents")
     classed = extents.where("n > 0")
-    # partial aggregates come before the shuffle: a gram of a third of all rows costs a row a task
+    # Partial aggregates come before the shuffle: a gram of a third of all rows costs a row a
+    # task.  They are written, so that both sides of the joins are shuffles that AQE can split.
     grams = classed.groupBy("gram").agg(F.sum("n").alias("rows"), F.min("body").alias("least"), F.max("body").alias("most")).where("rows > 1")
-    shared = work.keep(
-        classed.join(grams, "gram").select(*KEY, "first", "last", "gram", "body", "n", (F.col("least") != F.col("most")).alias("mixed"))
-        .unionByName(extents.where("n = 0").withColumn("mixed", F.lit(False))),
-        "shared",
-    )
+    grams = work.keep(grams.select("gram", (F.col("least") != F.col("most")).alias("mixed")), "grams")
+    shared = work.keep(classed.join(grams, "gram"), "shared-rows")
+    # rows repeated in full have equal extents, which are one from here on
+    once = shared.groupBy(*KEY, "first", "last", "gram", "body", "mixed").agg(F.sum("n").alias("n"))
+    shared = work.keep(once.unionByName(extents.where("n = 0").distinct().withColumn("mixed", F.lit(False))), "shared")
+    work.drop("shared-rows")
     work.drop("extents")
     mixed = shared.where("mixed")
-    classes = mixed.groupBy("gram", "body").agg(F.sum("n").alias("rows"), F.min(F.struct("doc_id", "mark", "first", "last")).alias("at"))
+    classes = work.keep(mixed.groupBy("gram", "body").agg(F.sum("n").alias("rows"), F.min(F.struct("doc_id", "mark", "first", "last")).alias("at")), "classes")
     open_grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.max(F.col("rows") == 1).alias("left")).where("left").select("gram", F.ceil(F.col("classes") / most).cast("int").alias("parts"))
     opened = work.keep(
         classes.join(open_grams, "gram").select("at.*", "gram", (F.col("rows") == 1).alias("alone"), "parts", F.pmod(F.hash("body"), "parts").alias("part")),
         "open",
     )
-    known = shared.where("not mixed").select(*KEY, "first", "last").unionByName(
-        mixed.join(classes.where("rows > 1").select("gram", "body"), ["gram", "body"], "left_semi").select(*KEY, "first", "last")
+    name = F.when(F.col("n") > 0, F.xxhash64(F.lit(prints[0]), "gram", "body")).alias("class")
+    known = shared.where("not mixed").select(*KEY, "first", "last", name).unionByName(
+        mixed.join(classes.where("rows > 1").select("gram", "body"), ["gram", "body"], "left_semi").select(*KEY, "first", "last", name)
     )
-    return Repeats(known, opened, texts)
+    known = work.keep(known, "known")
+    for done in ("shared", "classes", "grams"):
+        work.drop(done)
+    return Repeats(known, opened)
+
+
+def compact(known: DataFrame, work: Workspace) -> DataFrame:
+    """KEY, first, last, path: known extents, joined along the paths that do not
+    branch.
+
+    Nodes are the ends of extents.  A node does not branch if all occurrences of
+    the class that ends there go on with one class, and all of that class come
+    from there: their numbers and the number of transitions are the same.  Such
+    chains have no cycle, since the last occurrence in a text has none after it.
+    Each class then finds the head of its chain by pointer doubling, in as many
+    joins as the length of the longest chain has binary digits."""
+    along = W.partitionBy(*KEY).orderBy("first")
+    follows = F.lead("first").over(along) == F.col("last") + 1
+    placed = work.keep(known.where("class is not null").withColumn("next", F.when(follows, F.lead("class").over(along))), "edges-placed")
+    degree = work.keep(placed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("last") - F.col("first") + 1).cast("long").alias("size")), "degree")
+    crossed = placed.where("next is not null").groupBy("class", "next").agg(F.count(F.lit(1)).alias("n"))
+    out = crossed.join(degree, ["class", "n"]).join(degree.select(F.col("class").alias("next"), "n"), ["next", "n"])
+    links = work.keep(out.select(F.col("next").alias("class"), F.col("class").alias("up"), F.col("size").alias("back")), "links")
+    # a class that has no link up is the head of its chain
+    chain, step = links.withColumn("done", F.lit(False)), 0
+    while not chain.where("not done").isEmpty():
+        over = chain.select(F.col("class").alias("up"), F.col("up").alias("up2"), F.col("back").alias("back2"))
+        joined = chain.join(over, "up", "left")
+        chain = work.keep(joined.select("class", F.coalesce("up2", "up").alias("up"), (F.col("back") + F.coalesce("back2", F.lit(0))).alias("back"), F.col("up2").isNull().alias("done")), f"chain-{step}")
+        step += 1
+    on = placed.join(chain.select("class", "up", "back"), "class", "left").select(*KEY, "first", "last", F.coalesce("up", "class").alias("path"), F.coalesce("back", F.lit(0)).alias("back"))
+    spans = on.groupBy(*KEY, "path", (F.col("first") - F.col("back")).alias("start")).agg(F.min("first").alias("first"), F.max("last").alias("last")).select(*KEY, "first", "last", "path")
+    spans = work.keep(spans.unionByName(known.where("class is null").select(*KEY, "first", "last", F.lit(None).cast("long").alias("path"))), "paths")
+    for done in ("edges-placed", "degree", "links", *(f"chain-{i}" for i in range(step))):
+        work.drop(done)
+    return spans
+
+
+def differ(occurrences: DataFrame) -> bool:
+    """Whether the symbols of any two occurrences (path, content) of a path
+    differ.  Equal ones fold before the shuffle, so a hot path costs a row a task."""
+    variants = occurrences.groupBy("path", "content").agg(F.count(F.lit(1)).alias("n"))
+    return not variants.groupBy("path").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").isEmpty()
 
 
 def with_ranges(texts: DataFrame, ranges: DataFrame, columns: list[str], name: str, how: str) -> DataFrame:
-    """Texts with an array of the ranges that lie in them; at most one for each
-    place of a text, so no longer than the text."""
-    grouped = ranges.groupBy(*KEY).agg(F.collect_list(F.struct(*columns)).alias(name))
+    """Texts with an array of the ranges that lie in them.  Ranges are distinct,
+    so an array is no longer than a small multiple of the text."""
+    grouped = ranges.select(*KEY, *columns).distinct().groupBy(*KEY).agg(F.collect_list(F.struct(*columns)).alias(name))
     on = texts["doc_id"].eqNullSafe(grouped["doc_id"]) & (texts["mark"] == grouped["mark"])
-    return texts.join(grouped.hint("shuffle_hash"), on, how).select(texts["doc_id"], texts["mark"], texts["text"], grouped[name])
+    return texts.join(grouped, on, how).select(texts["doc_id"], texts["mark"], texts["text"], grouped[name])
 
 
 def list_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:
@@ -141,11 +235,21 @@ def list_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Struct
 
 
 def numbers(entries: pa.StructArray, name: str) -> np.ndarray:
-    return np.asarray(entries.field(name)).astype(np.int64)
+    return np.asarray(entries.field(name).fill_null(0)).astype(np.int64)
 
 
-def covered(batch: pa.RecordBatch, i: int, j: int, bounds: np.ndarray, width: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def covered(i: int, j: int, bounds: np.ndarray, width: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Mask of the symbols of texts i to j that a repeated window covers."""
     mine = (at >= i) & (at < j)
     start = bounds[at[mine] - i]
     return spans_mask(int(bounds[-1]), start + first[mine], start + last[mine] + width)
+
+
+def finish(search: Callable, prints) -> DataFrame:
+    """The result of ``search(prints)`` = (rows, occurrences), searched again
+    under other fingerprints while occurrences of a path differ."""
+    while True:
+        rows, occurrences = search(prints)
+        if not differ(occurrences):
+            return rows
+        prints = (prints[0] + 1, 64)

@@ -1,12 +1,18 @@
 """Substring deduplication by de Bruijn compaction over words.
 
 An edge of the graph is a word k-mer (k = ``width`` = 35 consecutive words of
-one text); its nodes are the overlaps.  Edges are bucketed by minimiser, and a
-run of edges with one minimiser is a compacted nonbranching path (`repeats`).
-Spark joins on (minimiser, path) find the paths that are taken twice.  Paths
-that share a minimiser but not all words branch somewhere: they are opened into
-single edges, which are joined on (minimiser, edge).  Edges that repeat are
-mapped back to (doc_id, word) coordinates, where the words are cut.
+one text).  Edges are bucketed by minimiser, and a run of edges of one text with
+one minimiser moves as one row (`repeats`).  Spark joins on (minimiser, run) find
+the runs that are taken twice; runs that share a minimiser but not all words
+branch somewhere: they are opened into single edges, which are joined on
+(minimiser, edge).  Repeated runs meet at nodes; where a node does not branch, a
+Spark join puts the two together, until only long paths are left
+(`repeats.compact`); repeated single edges are put together along their source.
+
+Each path has source coordinates: the texts and places where it stands.  The
+words there are brought together and compared.  If those of any path differ (a
+collision of fingerprints), the search starts again under other fingerprints; so
+no word is cut that was not seen to repeat, and none that repeats is missed.
 
 Defined cases: null and empty texts have no words and lose none; a text of fewer
 than ``width`` words keeps all; rows repeated in full are repeats of each other;
@@ -21,17 +27,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._seq import Prefix, chunks, column_bytes, mix
 from ._shared import Workspace
-from .repeats import KEY, covered, find, list_column, numbers, symbols_of, with_ranges
+from .repeats import KEY, KEYS, PRINTS, compact, covered, find, finish, keyed, list_column, mark_of, numbers, symbols_of, with_ranges
 
 WIDTH = 35
 GRAM = 12
 
 
-def _edges(width: int):
+def _edges(width: int, prints):
     """Opens paths into their edges."""
 
     def run(batches):
@@ -45,7 +52,7 @@ def _edges(width: int):
                 mine = np.flatnonzero((at >= i) & (at < j))
                 if not len(mine):
                     continue
-                symbols, bounds, _ = symbols_of("word", buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                symbols, bounds, _ = symbols_of("word", buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], prints)
                 prefix = Prefix(symbols)
                 n = last[mine] - first[mine] + 1
                 row = np.repeat(mine, n)
@@ -60,71 +67,122 @@ def _edges(width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, work: Workspace, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Texts, and their windows [first, last] whose words occur elsewhere too."""
-    found = find(docs, work, "word", width, gram)
-    paths = with_ranges(found.texts, found.open, ["first", "last", "gram", "alone"], "paths", "inner")
-    edges = work.keep(paths.mapInArrow(_edges(width), "doc_id long, mark int, place int, gram long, edge long, alone boolean"), "edges")
-    twice = edges.groupBy("gram", "edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "edge")
-    branches = edges.where("alone").join(twice, ["gram", "edge"], "left_semi").select(*KEY, F.col("place").alias("first"), F.col("place").alias("last"))
-    return found.texts, found.known.unionByName(branches)
+def branch_spans(edges: DataFrame, work: Workspace, prints) -> DataFrame:
+    """KEY, first, last, path: runs of opened edges that occur in another run
+    too, with the run where they do."""
+    own = F.struct(*KEY, "place")
+    twice = edges.groupBy("gram", "edge").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("low"), F.max(own).alias("high")).where("n > 1").drop("n")
+    twice = work.keep(twice, "edges-twice")
+    # the source of an edge is its least occurrence, and of that one the greatest
+    met = edges.where("alone").join(twice, ["gram", "edge"]).withColumn("source", F.when(own.eqNullSafe(F.col("low")), F.col("high")).otherwise(F.col("low")))
+    met = met.select(*KEY, "place", F.col("source.doc_id").alias("s_doc"), F.col("source.mark").alias("s_mark"), (F.col("place") - F.col("source.place")).alias("shift"))
+    same = [*KEY, "s_doc", "s_mark", "shift"]
+    island = F.col("place") - F.row_number().over(W.partitionBy(*same).orderBy("place"))
+    runs = met.withColumn("island", island).groupBy(*same, "island").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    named = work.keep(runs.withColumn("path", F.xxhash64(F.lit(prints[0]), "s_doc", "s_mark", F.col("first") - F.col("shift"), F.col("last") - F.col("first"), F.lit("run"))), "runs")
+    sources = named.select(F.col("s_doc").alias("doc_id"), F.col("s_mark").alias("mark"), (F.col("first") - F.col("shift")).alias("first"), (F.col("last") - F.col("shift")).alias("last"), "path")
+    return named.select(*KEY, "first", "last", "path").unionByName(sources.distinct())
+
+
+def repeated_spans(texts: DataFrame, work: Workspace, width: int = WIDTH, gram: int = GRAM, prints=PRINTS) -> DataFrame:
+    """KEY, first, last, path: windows of texts whose words occur elsewhere too."""
+    found = find(texts, work, "word", width, gram, prints=prints)
+    opened = with_ranges(texts, found.open, ["first", "last", "gram", "alone"], "paths", "inner")
+    edges = work.keep(opened.mapInArrow(_edges(width, prints), f"{KEYS}, place int, gram long, edge long, alone boolean"), "edges")
+    spans = compact(found.known, work).unionByName(branch_spans(edges, work, prints))
+    spans = work.keep(spans, "spans")
+    for done in ("known", "open", "edges", "edges-twice", "runs", "paths"):
+        work.drop(done)
+    return spans
 
 
 def _cut(width: int, with_text: bool):
+    """A row for each text, and one for each place of a path, with its words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("path", pa.int64()), ("content", pa.binary())])
+
     def run(batches):
         for batch in batches:
             buf, offsets = column_bytes(batch.column("text"))
             at, entries = list_column(batch, "spans")
-            first, last = numbers(entries, "first"), numbers(entries, "last")
-            n_words, n_removed, shas, texts = [], [], [], []
+            first, last, path = (numbers(entries, x) for x in ("first", "last", "path"))
+            named = np.asarray(entries.field("path").is_valid())
             for i, j in chunks(offsets):
                 own = offsets[i : j + 1] - offsets[i]
                 chunk = buf[offsets[i] : offsets[j]]
                 _, bounds, (s, e) = symbols_of("word", chunk, own)
-                gone = covered(batch, i, j, bounds, width, at, first, last)
+                gone = covered(i, j, bounds, width, at, first, last)
                 text_of = np.repeat(np.arange(j - i), np.diff(bounds))
-                n_words.append(np.diff(bounds))
-                n_removed.append(np.bincount(text_of[gone], minlength=j - i))
-                # kept words, each followed by one space
-                stay = ~gone
-                size = (e - s + 1)[stay]
-                ends = np.cumsum(size)
-                joined = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-                delta = np.zeros(len(chunk) + 1, np.int32)
-                delta[s[stay]] += 1
-                np.add.at(delta, e[stay], -1)
-                letters = np.ones(len(joined), bool)
-                letters[ends - 1] = False
-                joined[letters] = chunk[np.cumsum(delta[:-1]) > 0]
-                kept = np.bincount(text_of[stay], weights=size, minlength=j - i).astype(np.int64)
-                to = np.cumsum(kept)
-                for a, b in zip(to - kept, to):
-                    shas.append(hashlib.sha256(joined[a : max(a, b - 1)].tobytes()).hexdigest())
-                if with_text:
-                    # bytes go from the start of a cut word to the start of the next word
-                    lost = np.zeros(len(chunk) + 1, np.int32)
-                    np.add.at(lost, s[gone], 1)
-                    nxt = np.append(s[1:], len(chunk))
-                    nxt = np.minimum(nxt, own[1:][text_of])
-                    np.add.at(lost, nxt[gone], -1)
-                    keep = np.cumsum(lost[:-1]) <= 0
-                    left = np.concatenate([[0], np.cumsum(keep)])[own]
-                    rest = chunk[keep].tobytes()
-                    texts += [rest[left[t] : left[t + 1]].decode("utf-8", "replace") for t in range(j - i)]
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(np.concatenate(n_words or [[]]).astype(np.int64)), pa.array(np.concatenate(n_removed or [[]]).astype(np.int64)), pa.array(shas, pa.string())]
-            names = ["doc_id", "mark", "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                columns.append(pa.array(texts, pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                kept, shas = _joined(chunk, s, e, ~gone, bounds)
+                columns = [batch.column("doc_id").slice(i, j - i), batch.column("mark").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(np.bincount(text_of[gone], minlength=j - i)), pa.array([hashlib.sha256(kept[a:b]).hexdigest() for a, b in shas])]
+                columns.append(pa.array(_texts(chunk, own, s, text_of, gone) if with_text else [None] * (j - i), pa.string()))
+                nulls = [pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns, *nulls], schema)], schema=schema)
+                mine = np.flatnonzero(named & (at >= i) & (at < j))
+                if len(mine):
+                    start = bounds[at[mine] - i] + first[mine]
+                    words, ranges = _joined(chunk, s, e, np.ones(len(s), bool), np.array([0, len(s)]), start, start + last[mine] - first[mine] + width)
+                    nothing = pa.nulls(len(mine), pa.int64())
+                    texts = pa.nulls(len(mine), pa.string())
+                    yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, texts, texts, pa.array(path[mine]), pa.array([words[a:b] for a, b in ranges], pa.binary())], schema=schema)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def _joined(chunk, s, e, stay, bounds, start=None, end=None):
+    """The words that stay, each followed by one space, and the ranges of them
+    that hold each text (or the words from start to end), less the last space."""
+    size = (e - s + 1) * stay
+    total = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(int(total[-1]), 0x20, np.uint8)
+    if len(out):
+        letters = np.ones(len(out), bool)
+        letters[total[1:][stay] - 1] = False
+        delta = np.zeros(len(chunk) + 1, np.int32)
+        delta[s[stay]] += 1
+        np.add.at(delta, e[stay], -1)
+        out[letters] = chunk[np.cumsum(delta[:-1]) > 0]
+    a, b = (total[bounds[:-1]], total[bounds[1:]]) if start is None else (total[start], total[end])
+    return out.tobytes(), [(x, max(x, y - 1)) for x, y in zip(a.tolist(), b.tolist())]
+
+
+def _texts(chunk, own, s, text_of, gone) -> list[str]:
+    """Texts without the bytes from the start of a cut word to the start of the
+    next word."""
+    lost = np.zeros(len(chunk) + 1, np.int32)
+    np.add.at(lost, s[gone], 1)
+    following = np.minimum(np.append(s[1:], len(chunk)), own[1:][text_of])
+    np.add.at(lost, following[gone], -1)
+    keep = np.cumsum(lost[:-1]) <= 0
+    left = np.concatenate([[0], np.cumsum(keep)])[own]
+    rest = chunk[keep].tobytes()
+    return [rest[a:b].decode("utf-8", "replace") for a, b in zip(left[:-1], left[1:])]
+
+
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_text: bool = True, prints=PRINTS) -> DataFrame:
     """doc_id, mark, n_words, n_removed, kept_sha256 and, if asked for, text
     without the cut words (white space between kept words as it was)."""
-    work = Workspace(docs.sparkSession)
-    texts, spans = repeated_spans(docs, work, width, gram)
-    schema = "doc_id long, mark int, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return with_ranges(texts, spans, ["first", "last"], "spans", "left").mapInArrow(_cut(width, with_text), schema)
+    texts = keyed(docs)
+    schema = f"{KEYS}, n_words long, n_removed long, kept_sha256 string, text string, path long, content binary"
+
+    def search(prints):
+        work = Workspace(docs.sparkSession)
+        spans = repeated_spans(texts, work, width, gram, prints)
+        rows = work.keep(with_ranges(texts, spans, ["first", "last", "path"], "spans", "left").mapInArrow(_cut(width, with_text), schema), "cut")
+        work.drop("spans")
+        return rows.where("n_words is not null").drop("path", "content"), rows.where("path is not null").select("path", "content")
+
+    found = finish(search, prints)
+    return found if with_text else found.drop("text")
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the words of passages that occur elsewhere too,
+    and ``n_chars``, if there is one, to fit.  A text that loses nothing, a null
+    included, stays as it was."""
+    cut = dedup_substrings(docs).where("n_removed > 0").select("doc_id", "mark", F.col("text").alias("_cut")).dropDuplicates(KEY)
+    own = docs.withColumn("_mark", mark_of(F.col("text")))
+    on = own["doc_id"].cast("long").eqNullSafe(cut["doc_id"]) & (own["_mark"] == cut["mark"])
+    met = own.join(cut, on, "left")
+    text = F.coalesce(F.col("_cut"), own["text"])
+    new = {"text": text, "n_chars": F.when(F.col("_cut").isNull(), own["n_chars"]).otherwise(F.length("_cut").cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    return met.select(*(new[c].alias(c) if c in new else own[c] for c in docs.columns))

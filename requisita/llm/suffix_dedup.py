@@ -15,6 +15,11 @@ least ``o`` deep on the left and ``200 - o`` on the right.
 A minimiser with very many classes is dealt to several tasks.  What such a task
 can't match in its own part is matched across parts by window fingerprint.
 
+Whole extents that occur twice need no sorting; they, and what is matched across
+parts, are proven at their source coordinates: the bytes of all places of a path
+(`repeats.compact`) are brought together and compared, and if any differ, the
+search starts again under other fingerprints.
+
 Defined cases: null text is empty; texts shorter than the window keep all bytes;
 rows repeated in full are repeats of each other; cuts may split a UTF-8
 character, so the remaining bytes are given as binary; other columns are ignored;
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._seq import U64, Prefix, alphabet, chunks, column_bytes, mix
 from ._shared import Workspace
-from .repeats import KEY, covered, find, list_column, numbers, with_ranges
+from .repeats import KEY, KEYS, PRINTS, compact, covered, find, finish, keyed, list_column, numbers, weaken, with_ranges
 
 WIDTH = 200
 GRAM = 32
@@ -174,6 +179,8 @@ def _anchors(prefix: Prefix, start: np.ndarray, last: np.ndarray, gram: np.ndarr
 
 def _runs(member: np.ndarray, place: np.ndarray):
     """Maximal runs of consecutive places of each member."""
+    if not len(member):
+        return member, place, place
     order = np.lexsort((place, member))
     member, place = member[order], place[order]
     new = np.ones(len(member), bool)
@@ -182,7 +189,7 @@ def _runs(member: np.ndarray, place: np.ndarray):
     return member[heads], place[heads], place[np.append(heads[1:], len(member)) - 1]
 
 
-def _sort_rows(t: pa.Table, width: int, k: int):
+def _sort_rows(t: pa.Table, width: int, k: int, prints=PRINTS):
     """Windows of the open extents that repeat, and those that other parts may
     hold.  t is ordered by gram and part."""
     buf, offsets = column_bytes(pa.array(t.column("bytes").combine_chunks()).cast(pa.large_binary()).view(pa.large_string()))
@@ -191,7 +198,7 @@ def _sort_rows(t: pa.Table, width: int, k: int):
     alone, split = np.asarray(t.column("alone").cast(pa.int8())) > 0, np.asarray(t.column("parts")) > 1
     n = len(first)
     start, stop = offsets[:-1], offsets[1:]
-    prefix = Prefix(alphabet()[buf])
+    prefix = Prefix(weaken(alphabet(prints[0]), prints[1])[buf])
     anchor = _anchors(prefix, start, last, gram, first, width, k)
     group = np.cumsum(np.append(0, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])))
     rank, starts = [], []
@@ -238,7 +245,7 @@ def _sort_rows(t: pa.Table, width: int, k: int):
         yield rows(member, at, at, mix(prefix.of(s, s + width)).view(np.int64), join(open_alone).astype(bool), False)
 
 
-def _sort_parts(width: int, k: int, most: int):
+def _sort_parts(width: int, k: int, most: int, prints=PRINTS):
     """Reads rows ordered by gram and part, and sorts some groups at a time."""
 
     def run(batches):
@@ -252,73 +259,84 @@ def _sort_parts(width: int, k: int, most: int):
             gram, part = np.asarray(t.column("gram")), np.asarray(t.column("part"))
             cut = np.flatnonzero((gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
             if len(cut):
-                yield from _sort_rows(t.slice(0, cut[-1] + 1), width, k)
+                yield from _sort_rows(t.slice(0, cut[-1] + 1), width, k, prints)
                 rest = t.slice(cut[-1] + 1)
                 held, size = rest.to_batches(), rest.nbytes
         if held:
             t = pa.Table.from_batches(held)
             if t.num_rows:
-                yield from _sort_rows(t, width, k)
+                yield from _sort_rows(t, width, k, prints)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, work: Workspace, width: int = WIDTH, gram: int = GRAM, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Texts, and their windows [first, last] whose bytes occur elsewhere too."""
-    spark = docs.sparkSession
-    found = find(docs, work, "byte", width, gram, most)
-    extents = with_ranges(found.texts, found.open, ["first", "last", "gram", "alone", "parts", "part"], "extents", "inner")
-    schema = "doc_id long, mark int, first int, last int, gram long, alone boolean, parts int, part int, bytes binary"
+def repeated_spans(texts: DataFrame, work: Workspace, width: int = WIDTH, gram: int = GRAM, most: int = 20_000, prints=PRINTS) -> DataFrame:
+    """KEY, first, last, path: windows of texts whose bytes occur elsewhere too.
+    Those without path were compared byte by byte when they were sorted."""
+    spark = texts.sparkSession
+    found = find(texts, work, "byte", width, gram, most, prints)
+    extents = with_ranges(texts, found.open, ["first", "last", "gram", "alone", "parts", "part"], "extents", "inner")
+    schema = f"{KEYS}, first int, last int, gram long, alone boolean, parts int, part int, bytes binary"
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.open.count() * (2 * width) // (4 * SORT_BYTES))
     dealt = extents.mapInArrow(_extent_bytes(width, gram), schema).repartition(tasks, "gram", "part").sortWithinPartitions("gram", "part")
-    sorted_ = work.keep(dealt.mapInArrow(_sort_parts(width, gram, SORT_BYTES), "doc_id long, mark int, first int, last int, gram long, window long, waits boolean, known boolean"), "sorted")
+    sorted_ = work.keep(dealt.mapInArrow(_sort_parts(width, gram, SORT_BYTES, prints), f"{KEYS}, first int, last int, gram long, window long, waits boolean, known boolean"), "sorted")
     across = sorted_.where("not known")
-    twice = across.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "window")
-    matched = across.where("waits").join(twice, ["gram", "window"], "left_semi")
-    spans = found.known
-    for more in (sorted_.where("known"), matched):
-        spans = spans.unionByName(more.select(*KEY, "first", "last"))
-    return found.texts, spans
+    twice = work.keep(across.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.max("waits").alias("waits")).where("n > 1 and waits").select("gram", "window"), "twice")
+    matched = across.join(twice, ["gram", "window"], "left_semi").withColumn("path", F.xxhash64(F.lit(prints[0]), "gram", "window", F.lit("window")))
+    spans = compact(found.known, work).unionByName(matched.select(*KEY, "first", "last", "path"))
+    spans = work.keep(spans.unionByName(sorted_.where("known").select(*KEY, "first", "last", F.lit(None).cast("long").alias("path"))), "spans")
+    for done in ("known", "open", "sorted", "twice", "paths"):
+        work.drop(done)
+    return spans
 
 
 def _cut(width: int, with_bytes: bool):
+    """A row for each text, and one for each place of a path, with its bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("path", pa.int64()), ("content", pa.binary())])
+
     def run(batches):
         for batch in batches:
             buf, offsets = column_bytes(batch.column("text"))
             at, entries = list_column(batch, "spans")
-            first, last = numbers(entries, "first"), numbers(entries, "last")
-            removed, spans, shas, rest = [], [], [], []
+            first, last, path = (numbers(entries, x) for x in ("first", "last", "path"))
+            named = np.asarray(entries.field("path").is_valid())
             for i, j in chunks(offsets):
                 own = offsets[i : j + 1] - offsets[i]
                 chunk = buf[offsets[i] : offsets[j]]
-                gone = covered(batch, i, j, own, width, at, first, last)
+                gone = covered(i, j, own, width, at, first, last)
                 head = gone.copy()
                 head[1:] &= ~gone[:-1]
                 inner = own[:-1][own[:-1] < len(gone)]
                 head[inner] = gone[inner]
                 total = lambda x: np.concatenate([[0], np.cumsum(x)])[own]
-                left = total(~gone)
-                removed.append(np.diff(total(gone)))
-                spans.append(np.diff(total(head)))
+                left = total(~gone).tolist()
                 kept = chunk[~gone].tobytes()
-                for a, b in zip(left[:-1], left[1:]):
-                    shas.append(hashlib.sha256(kept[a:b]).hexdigest())
-                    if with_bytes:
-                        rest.append(kept[a:b])
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(offsets)), pa.array(np.concatenate(removed or [[]]).astype(np.int64)), pa.array(np.concatenate(spans or [[]]).astype(np.int64)), pa.array(shas, pa.string())]
-            names = ["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_bytes:
-                columns.append(pa.array(rest, pa.binary()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                rest = [kept[a:b] for a, b in zip(left[:-1], left[1:])]
+                columns = [batch.column("doc_id").slice(i, j - i), batch.column("mark").slice(i, j - i), pa.array(np.diff(own)), pa.array(np.diff(total(gone))), pa.array(np.diff(total(head))), pa.array([hashlib.sha256(x).hexdigest() for x in rest])]
+                columns += [pa.array(rest if with_bytes else [None] * (j - i), pa.binary()), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                mine = np.flatnonzero(named & (at >= i) & (at < j))
+                if len(mine):
+                    start = own[at[mine] - i] + first[mine]
+                    data = [chunk[a:b].tobytes() for a, b in zip(start, start + last[mine] - first[mine] + width)]
+                    numbers_ = pa.nulls(len(mine), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[numbers_] * 5, pa.nulls(len(mine), pa.string()), pa.nulls(len(mine), pa.binary()), pa.array(path[mine]), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
-def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = 20_000, with_bytes: bool = True) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = 20_000, with_bytes: bool = True, prints=PRINTS) -> DataFrame:
     """doc_id, mark, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
-    the remaining bytes.  ``most``: open classes of one minimiser for one task."""
-    work = Workspace(docs.sparkSession)
-    texts, spans = repeated_spans(docs, work, width, gram, most)
-    schema = "doc_id long, mark int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return with_ranges(texts, spans, ["first", "last"], "spans", "left").mapInArrow(_cut(width, with_bytes), schema)
+    the remaining bytes (kept).  ``most``: open classes of one minimiser for one task."""
+    texts = keyed(docs)
+    schema = f"{KEYS}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, path long, content binary"
+
+    def search(prints):
+        work = Workspace(docs.sparkSession)
+        spans = repeated_spans(texts, work, width, gram, most, prints)
+        rows = work.keep(with_ranges(texts, spans, ["first", "last", "path"], "spans", "left").mapInArrow(_cut(width, with_bytes), schema), "cut")
+        work.drop("spans")
+        return rows.where("n_bytes is not null").drop("path", "content"), rows.where("path is not null").select("path", "content")
+
+    found = finish(search, prints)
+    return found if with_bytes else found.drop("kept")

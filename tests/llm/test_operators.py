@@ -123,6 +123,42 @@ def test_suffix_dedup(docs, width, gram, most):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in found)
 
 
+def lookalikes(spark):
+    """Texts that differ in a few words or bytes only, so that weak fingerprints
+    take many of their windows for equal."""
+    r, base, rows = np.random.default_rng(12), passage(21, 90).split(" "), []
+    for i in range(30):
+        own = list(base)
+        for at in r.choice(90, 3, replace=False):
+            own[at] = own[at][:3] + str(i) + own[at][3:4]
+        rows.append((i, " ".join(own)))
+    return rows + [(40, rows[3][1]), (41, passage(22, 50) + " " + passage(22, 50))]
+
+
+@pytest.mark.parametrize("bits", [64, 2, 0])
+def test_collisions_of_fingerprints_are_found(spark, bits):
+    rows = lookalikes(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = [t.split(" ") for _, t in rows]
+    want = [(d, sum(gone)) for (d, _), gone in zip(rows, covered(words, 8))]
+    assert 0 < sum(n for _, n in want) < sum(map(len, words))
+    same([(r.doc_id, r.n_removed) for r in dedup_substrings(docs, 8, 3, prints=(0, bits)).collect()], want)
+    want = [(d, sum(gone)) for (d, _), gone in zip(rows, covered([t for _, t in rows], 60))]
+    same([(r.doc_id, r.n_removed) for r in dedup_suffixes(docs, 60, 16, prints=(0, bits)).collect()], want)
+
+
+def test_paths_that_do_not_branch_are_joined(spark):
+    from requisita.llm.repeats import find, compact, keyed
+
+    one, two = passage(23, 400), passage(24, 300)
+    docs = spark.createDataFrame([(i, one) for i in range(5)] + [(9, two), (10, two + " " + passage(25, 50))], "doc_id long, text string")
+    work = Workspace(spark)
+    known = find(keyed(docs), work, "word", 35, 12).known
+    paths = compact(known, work).collect()
+    assert known.count() > 100 and len({r.path for r in paths}) < 10
+    assert {(r.doc_id, r["first"], r["last"]) for r in paths if r.doc_id < 5} == {(i, 0, 365) for i in range(5)}
+
+
 def shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
