@@ -11,7 +11,7 @@ from requisita.llm.exact_dedup import dedup_exact
 from requisita.llm.minhash_dedup import link_components
 from requisita.llm.packing import pack_documents
 from requisita.llm.quality import keep_good
-from requisita.llm.substring_dedup import dedup_substrings
+from requisita.llm.substring_dedup import cut_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that occur elsewhere too; a
-    document that loses nothing keeps its text as it was."""
-    key = ["name", "mark"]
-    cut = dedup_substrings(docs.select(_name().alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), "mark", "text").dropDuplicates(key)
-    rest = docs.withColumn("name", _name()).withColumn("mark", F.hash(_text())).drop("text", "n_chars").join(cut, key)
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    document that loses nothing keeps its text as it was, null included."""
+    return cut_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
