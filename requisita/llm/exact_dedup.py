@@ -1,15 +1,20 @@
 """Exact deduplication through an extendible-hash index on shared files.
 
-DataFrame functions only.  Equal texts are first folded into one entry each, by
-their bytes and not by a hash (partial aggregates before the shuffle, so a text
-that a third of all rows hold costs one row a task).  Entries are addressed by
-the leading bits of a 64-bit hash.  A directory of 2**depth slots is doubled
-until no bucket holds more than ``capacity`` entries: a bucket that is still
-overfull at some depth is split by one bit more, one that is not keeps its local
-depth and is shared by several slots.  The index files are sorted by bucket and
-hash, so that each task that writes them owns a range of keys; within it the
-entries of one hash form a chain, ordered by digest.  Documents find their entry
-by hash and digest.
+DataFrame functions only.  A text is addressed by the leading bits of a 64-bit
+hash.  The directory starts with the slots that the number of hashes asks for
+and is doubled until no bucket holds more than ``capacity`` of them: a bucket
+that is overfull is split by one bit more, one that is not keeps its local depth
+and is shared by several slots.  Only texts with the same 64 bits can't be told
+apart so; they share an entry of their bucket as a chain.
+
+Rows are dealt to owners by directory slot, so an owner holds a range of hashes.
+It puts each text into the chain of its hash by comparing bytes, and writes the
+bucket: an entry for each row, with what its group comes to.  The answer is read
+from these files.
+
+Texts that very many rows hold (at most ``HOT`` of them can exist) are folded a
+few hundred rows at a time before they are dealt, so an owner gets few rows of
+them; their rows then look their group up in the index, by slot, hash and digest.
 
 Defined cases: null text is empty; the row with the largest doc_id of equal
 texts stays; a null doc_id is kept only where no row of the group has another,
@@ -21,54 +26,85 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import Workspace, bare_documents
 
-CAPACITY = 100_000
-MAX_DEPTH = 24
+#: Hashes that a bucket holds at most.
+CAPACITY = 2048
+#: A hash is hot if more than 1 / HOT of all rows, and SALTS rows, have it: so
+#: there are fewer than HOT hot hashes (8 bytes each), which are broadcast.
+HOT = 100_000
+#: Rows of a hot text are folded into so many at most.
+SALTS = 64
 #: A directory of so many slots at most (24 bytes each) is broadcast.
-BROADCAST_SLOTS = 1 << 12
+BROADCAST_SLOTS = 1 << 16
 
 
-def slot(h, depth: int):
-    """The leading ``depth`` bits of a hash."""
-    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+def leading(h: Column, depth) -> Column:
+    """The leading ``depth`` bits of a 64-bit number."""
+    depth = F.lit(depth) if isinstance(depth, int) else depth
+    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", h, (64 - depth).cast("int")))
 
 
-def directory(entries: DataFrame, depth: int, capacity: int) -> DataFrame:
-    """slot, local_depth, bucket: the buckets after all splits, at ``depth``."""
-    slots = entries.groupBy(slot(F.col("hash"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    prefixes = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("prefix", F.expr(f"slot div cast(pow(2, {depth} - d) as bigint)"))
-    overfull = prefixes.groupBy("d", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > capacity).select("d", "prefix", F.lit(True).alias("overfull"))
-    local = prefixes.join(overfull, ["d", "prefix"], "left").groupBy("slot").agg(F.coalesce(F.min(F.when(F.col("overfull").isNull(), F.col("d"))), F.lit(depth)).alias("local_depth"))
-    # a bucket is known by the first slot that points to it
-    return local.select("slot", "local_depth", F.expr(f"slot - slot % cast(pow(2, {depth} - local_depth) as bigint)").alias("bucket"))
+def directory(hashes: DataFrame, work: Workspace, capacity: int) -> tuple[DataFrame, int]:
+    """slot, local_depth, bucket (the leading bits of its hashes), entries: one
+    row for each slot that is not empty; and the depth."""
+    n = hashes.count()
+    depth = min(64, max(0, math.ceil(math.log2(max(1, n) / capacity))) + 1)
+    while True:
+        slots = hashes.groupBy(leading(F.col("hash"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        slots = work.keep(slots, f"slots-{depth}")
+        # the prefixes of a slot, from the whole directory down to the slot itself
+        shift = (depth - F.col("d")).cast("int")
+        prefix = F.when(F.col("d") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("slot"), shift))
+        held = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("bucket", prefix)
+        sizes = held.groupBy("d", "bucket").agg(F.sum("n").alias("entries"))
+        fits = held.select("slot", "d", "bucket").join(sizes.where(F.col("entries") <= capacity), ["d", "bucket"])
+        first = fits.groupBy("slot").agg(F.min_by(F.struct(F.col("d").alias("local_depth"), "bucket", "entries"), "d").alias("b"))
+        whole = slots.join(first, "slot", "left").select("slot", "n", "b.*")
+        if depth == 64 or whole.where("bucket is null").isEmpty():
+            # with all 64 bits, what is left of a bucket is one hash
+            return work.keep(whole.select("slot", F.coalesce("local_depth", F.lit(depth)).alias("local_depth"), F.coalesce("bucket", "slot").alias("bucket"), F.coalesce("entries", "n").alias("entries")), "directory"), depth
+        depth = min(64, depth + 1)
 
 
-def build_index(docs: DataFrame, work: Workspace, capacity: int = CAPACITY) -> DataFrame:
-    """bucket, local_depth, hash, chain, digest, keep_id, group_size: one entry
-    for each distinct text, in files sorted by bucket and hash."""
-    texts = bare_documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    folded = texts.groupBy(F.xxhash64("text").alias("hash"), "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = work.keep(folded.select("hash", F.sha2("text", 256).alias("digest"), "keep_id", "group_size"), "entries")
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, entries.count()) / capacity))) + 3)
-    slots = work.keep(directory(entries, depth, capacity), "directory")
-    if (1 << depth) <= BROADCAST_SLOTS:
-        slots = F.broadcast(slots)
-    addressed = entries.withColumn("slot", slot(F.col("hash"), depth)).join(slots, "slot").drop("slot")
-    owned = addressed.repartitionByRange("bucket", "hash")
-    chained = owned.withColumn("chain", F.row_number().over(W.partitionBy("bucket", "hash").orderBy("digest")))
-    return work.keep(chained.sortWithinPartitions("bucket", "hash", "chain"), "index")
+def build_index(docs: DataFrame, work: Workspace, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index: bucket, local_depth, slot, hash, chain, digest, doc_id, n (rows
+    that it stands for), hot, keep_id, group_size; the hot hashes; the depth."""
+    texts = bare_documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    hashes = work.keep(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hashes")
+    rows = hashes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(hashes.where(F.col("n") > max(SALTS, rows / HOT)).select("hash"))
+    slots, depth = directory(hashes, work, capacity)
+    cold = texts.join(hot, "hash", "left_anti").select("hash", "text", "doc_id", F.lit(1).cast("long").alias("n"), F.lit(False).alias("hot"))
+    salted = texts.join(hot, "hash", "left_semi").groupBy("hash", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    folded = salted.agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("hash", "text", "doc_id", "n", F.lit(True).alias("hot"))
+    dealt = cold.unionByName(folded).withColumn("slot", leading(F.col("hash"), depth))
+    owned = dealt.repartition("slot")
+    small = slots.count() <= BROADCAST_SLOTS
+    placed = owned.join(F.broadcast(slots) if small else slots, "slot")
+    # the chain of a hash: its texts in the order of their bytes, equal ones in one place
+    same = W.partitionBy("slot", "hash", "text")
+    chained = placed.withColumns({
+        "chain": F.dense_rank().over(W.partitionBy("slot", "hash").orderBy("text")),
+        "keep_id": F.max("doc_id").over(same),
+        "group_size": F.sum("n").over(same),
+    })
+    index = chained.select("bucket", "local_depth", "slot", "hash", "chain", F.sha2("text", 256).alias("digest"), "doc_id", "n", "hot", "keep_id", "group_size")
+    return work.keep(index, "index"), hot, depth
 
 
 def dedup_exact(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row."""
-    index = build_index(docs, Workspace(docs.sparkSession), capacity)
+    index, hot, depth = build_index(docs, Workspace(docs.sparkSession), capacity)
     text = F.coalesce("text", F.lit(""))
-    probes = bare_documents(docs).select("doc_id", F.xxhash64(text).alias("hash"), F.sha2(text, 256).alias("digest"))
-    return probes.join(index, ["hash", "digest"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    probes = bare_documents(docs).select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).join(hot, "hash", "left_semi")
+    probes = probes.select("doc_id", "hash", leading(F.col("hash"), depth).alias("slot"), F.sha2("text", 256).alias("digest"))
+    # fewer than HOT hot hashes, so as few groups, unless hashes collide
+    groups = index.where("hot").select("slot", "hash", "digest", "keep_id", "group_size").distinct()
+    columns = ["doc_id", "keep_id", "group_size", "digest"]
+    found = index.where("not hot").select(*columns).unionByName(probes.join(F.broadcast(groups), ["slot", "hash", "digest"]).select(*columns))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -88,12 +88,40 @@ def test_exact_dedup(docs):
     same([tuple(r) for r in dedup_exact(docs, capacity=1).collect()], want)
 
 
-def test_index_splits_overfull_buckets(spark):
+def test_exact_dedup_of_hot_texts(spark):
+    # 300 rows of one text and 200 of another, more than are left whole
+    rows = [(i, "hot text") for i in range(300)] + [(None, "hot text")] * 9 + [(1000 + i % 150, "other") for i in range(200)] + [(2000 + i, f"t{i % 70}") for i in range(90)]
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t, []).append(d)
+    top = {t: max(x for x in own if x is not None) for t, own in groups.items()}
+    want = [(d, top[t], len(groups[t]), d == top[t], hashlib.sha256(t.encode()).hexdigest()) for d, t in rows]
+    same([tuple(r) for r in dedup_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()], want)
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 3, 10])
+def test_index_splits_overfull_buckets(spark, capacity):
     texts = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
-    index = build_index(texts, Workspace(spark), capacity=10)
-    assert index.count() == 200
-    assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 10
-    assert index.groupBy("bucket").agg(F.count_distinct("local_depth").alias("n")).where("n > 1").count() == 0
+    index, _, depth = build_index(texts, Workspace(spark), capacity)
+    rows = index.collect()
+    buckets = Counter((r.local_depth, r.bucket) for r in rows)
+    assert len(rows) == 200 and max(buckets.values()) <= capacity
+    for r in rows:
+        assert r.bucket == ((r.hash % 2**64) >> (64 - r.local_depth) if r.local_depth else 0) and r.local_depth <= depth
+    # no bucket is split for nothing: with its buddy it would be overfull
+    below = lambda d, b: sum(n for (x, y), n in buckets.items() if x >= d and y >> (x - d) == b)
+    assert all(d == 0 or below(d - 1, b >> 1) > capacity for d, b in buckets)
+
+
+def test_chains_tell_colliding_texts_apart(spark, monkeypatch):
+    # all texts of one length get one hash
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.length(c[0].cast("string") if not isinstance(c[0], str) else F.col(c[0]).cast("string")).cast("long"))
+    rows = [(i, f"text {i % 7}") for i in range(100)] + [(200 + i, f"longer {i % 3}") for i in range(9)]
+    found = dedup_exact(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1).collect()
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t, []).append(d)
+    same([tuple(r)[:3] for r in found], [(d, max(groups[t]), len(groups[t])) for d, t in rows])
 
 
 @pytest.mark.parametrize("width,gram", [(35, 12), (8, 3)])
