@@ -1,21 +1,24 @@
 """Exact top-k search by inner product, with a ball tree for each shard.
 
-Candidates are dealt to shards and queries to blocks; a task holds one shard and
-one block.  It builds a ball tree over the shard and goes down it level by level
-for all queries of the block at once: a node is dropped for a query when its
-upper bound, ``q . centre + |q| * radius``, is below the query's current kth
-score.  The leaves that are left are visited in the order of their bounds, and
-the kth score rises meanwhile.  Each block first searches one pilot shard; the
-kth scores found there are shared with the tasks of all other shards, which
-start from them.  Equal bounds are never dropped, since an equal score with a
-smaller id would win.
+Candidates are dealt to shards, and a task holds one: it builds a ball tree over
+its candidates and then reads the queries, some hundred at a time.  It goes down
+the tree level by level for all of them at once: a node is dropped for a query
+when its upper bound, ``q . centre + |q| * radius``, is below the query's current
+kth score.  The leaves that are left are visited in the order of their bounds,
+and the kth score rises meanwhile.  Each query first searches one pilot shard;
+the kth score found there is shared with all other shards, which start from it.
+Equal bounds are never dropped, since an equal score with a smaller id would win.
+
+Candidates move once for the pilot and once for the rest, and queries once to
+each shard, which an exact answer asks for.
 
 Defined cases: vectors that are null, or hold a null or a component that is not
-finite, take no part, nor do rows without vec_id; of rows with one vec_id the
-least vector counts; vectors of different lengths have no product; ties go to
-the smaller vec_id; other columns are ignored; an empty table gives an empty
-result.  Components beyond 2**20 in size are multiplied as Python integers, and a score
-that does not fit 64 bits is the nearest that does.
+finite, take no part, nor do rows without vec_id; rows that share a vec_id are
+candidates, and queries, of their own, and each other's candidates too; vectors
+of different lengths have no product; ties go to the smaller vec_id; other
+columns are ignored; an empty table gives an empty result.  Products that a
+double can't hold exactly are taken as Python integers, and a score that does
+not fit 64 bits is the nearest that does.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Workspace
+from ._shared import Workspace, tune
 
 K = 20
 QUERY_MODULUS = 20
 SCALE = 64.0
-SHARD_ROWS = 1 << 15
-BLOCK_ROWS = 1 << 12
+#: Components of the vectors of a shard (8 bytes each), on average.
+SHARD_VALUES = 1 << 21
 LEAF = 128
-_SAFE = float(1 << 20)
+#: Sums of products below this are exact in a double.
+_EXACT = float(1 << 53)
+_NOTHING = np.int64(-(2**63) + 1)
 
 
 class BallTree:
@@ -82,34 +87,35 @@ class BallTree:
         self.kids = kids
 
 
-def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int):
+def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, k: int):
     """Places (query, candidate, score) of each query's k best of this shard
-    among those of at least its floor."""
+    among those of at least its floor.  Higher scores go first, then smaller ids,
+    then smaller rows."""
     n = len(points)
-    bits = max(1, int(n).bit_length())
+    order = np.lexsort((rows, ids))
     rank = np.empty(n, np.int64)
-    rank[np.argsort(ids)] = np.arange(n)  # ids are distinct
-    tie = n - 1 - rank  # a smaller id is better
+    rank[order] = np.arange(n)  # a smaller id is better
     norms = np.linalg.norm(queries, axis=1) * (1 + 1e-9)
     slack = 1e-6 * (1 + norms)
-    pad = np.int64(-(1 << 62))
-    best = np.full((len(queries), k), pad, np.int64)  # score << bits | tie, ascending from the left
+    best = np.full((len(queries), k), _NOTHING, np.int64)  # best first
+    best_rank = np.full((len(queries), k), n, np.int64)
 
     def kth():
-        return np.maximum(np.where(best[:, 0] == pad, -np.inf, (best[:, 0] >> bits).astype(np.float64)), floor)
+        return np.maximum(np.where(best_rank[:, -1] == n, -np.inf, best[:, -1].astype(np.float64)), floor)
 
     def visit(leaf: int, who: np.ndarray, limit: np.ndarray) -> None:
         own = tree.order[tree.low[leaf] : tree.high[leaf]]
         scores = np.rint(queries[who] @ points[own].T).astype(np.int64)
-        keys = (scores << bits) | tie[own][None, :]
-        keys[(scores < limit[who][:, None]) | (ids[own][None, :] == query_ids[who][:, None])] = pad
-        better = keys.max(1) > best[who, 0]
-        if better.any():
-            both = np.concatenate([best[who[better]], keys[better]], 1)
-            best[who[better]] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
-
-    def bound(nodes: np.ndarray) -> np.ndarray:
-        return queries @ tree.centre[nodes].T + norms[:, None] * tree.radius[nodes][None, :] + slack[:, None]
+        ranks = np.broadcast_to(rank[own], scores.shape)
+        out = (scores < limit[who][:, None]) | (rows[own][None, :] == query_rows[who][:, None])
+        some = np.flatnonzero(~out.all(1))
+        if not len(some):
+            return
+        at = who[some]
+        scores = np.concatenate([best[at], np.where(out[some], _NOTHING, scores[some])], 1)
+        ranks = np.concatenate([best_rank[at], np.where(out[some], n, ranks[some])], 1)
+        top = np.lexsort((ranks, -scores), axis=1)[:, :k]
+        best[at], best_rank[at] = np.take_along_axis(scores, top, 1), np.take_along_axis(ranks, top, 1)
 
     # a dive to the most promising leaf gives a first kth score
     at = np.zeros(len(queries), np.int64)
@@ -148,11 +154,11 @@ def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, queries: np.ndar
         node = np.concatenate([np.full(len(w), x) for x, w, _ in leaves])
         who = np.concatenate([w for _, w, _ in leaves])
         upper = np.concatenate([u for _, _, u in leaves])
-        order = np.lexsort((-upper, who))
-        node, who, upper = node[order], who[order], upper[order]
+        by_bound = np.lexsort((-upper, who))
+        node, who, upper = node[by_bound], who[by_bound], upper[by_bound]
         turn = np.arange(len(who)) - np.searchsorted(who, who, "left")
         # several turns at a time, so that one product serves many queries
-        wave = np.minimum(turn // 4, 1 << 20)
+        wave = turn // 4
         for w in range(int(wave.max()) + 1 if len(wave) else 0):
             limit = kth()
             on = np.flatnonzero((wave == w) & (upper >= limit[who]))
@@ -160,92 +166,107 @@ def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, queries: np.ndar
             cuts = np.flatnonzero(np.diff(node[on])) + 1
             for group in np.split(on, cuts) if len(on) else []:
                 visit(int(node[group[0]]), who[group], limit)
-    q, at = np.nonzero(best != pad)
-    keys = best[q, at]
-    by_tie = np.argsort(tie)
-    return q, by_tie[keys & ((1 << bits) - 1)], keys >> bits
+    q, at = np.nonzero(best_rank < n)
+    return q, order[best_rank[q, at]], best[q, at]
 
 
-def _search_plain(points, ids, queries, query_ids, floor, k):
-    """The same by Python integers, for components too large for exact floats."""
+def _search_plain(points, ids, rows, queries, query_rows, floor, k):
+    """The same by Python integers, for products too large for exact floats."""
     whole = [[int(x) for x in p] for p in points]
     out = []
     for i, q in enumerate(queries):
         q = [int(x) for x in q]
-        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, p)))), int(ids[j]), j) for j, p in enumerate(whole) if ids[j] != query_ids[i]]
-        out += [(i, j, -s) for s, _, j in sorted(scores)[:k] if -s >= floor[i]]
+        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, p)))), int(ids[j]), int(rows[j]), j) for j, p in enumerate(whole) if rows[j] != query_rows[i]]
+        out += [(i, j, -s) for s, _, _, j in sorted(scores)[:k] if -s >= floor[i]]
     return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
 
 
-def _tasks(k: int, leaf: int):
-    """Reads rows ordered by (shard, block, size, query): candidates, then queries."""
-
-    def solve(rows: pa.Table):
-        is_query = np.asarray(rows.column("query").combine_chunks().cast(pa.int8())) > 0
-        ids = np.asarray(rows.column("vec_id"))
-        floor = np.asarray(rows.column("floor").combine_chunks().fill_null(-np.inf))
-        values = np.asarray(rows.column("vector").combine_chunks().flatten()).astype(np.float64)
-        values = values.reshape(len(ids), -1) if len(values) else np.zeros((len(ids), 0))
-        points, queries = values[~is_query], values[is_query]
-        if not len(points) or not len(queries):
+class _Shard:
+    """One shard's candidates, and its tree, built when the first queries come."""
+
+    def __init__(self, leaf: int):
+        self.leaf, self.parts, self.tree = leaf, [], None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.parts.append(_arrays(batch))
+
+    def ask(self, batch: pa.RecordBatch, k: int):
+        if self.tree is None:
+            self.vec, self.row, _, self.points = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 4
+            self.parts = []
+            self.largest = np.abs(self.points).max(initial=0)
+            self.tree = BallTree(self.points, self.leaf) if len(self.points) and self.largest <= _EXACT else True
+        ids, rows, floor, queries = _arrays(batch)
+        if not len(self.points):
             return None
-        if np.abs(values).max(initial=0) > _SAFE or values.shape[1] > 4096:
-            q, c, s = _search_plain(points, ids[~is_query], queries, ids[is_query], floor[is_query], k)
+        exact = queries.shape[1] * self.largest * np.abs(queries).max(initial=0) < _EXACT
+        if exact and self.tree is not True:
+            q, c, s = search(self.tree, self.points, self.vec, self.row, queries, rows, floor, k)
         else:
-            q, c, s = search(BallTree(points, leaf), points, ids[~is_query], queries, ids[is_query], floor[is_query], k)
-        return pa.RecordBatch.from_arrays([pa.array(ids[is_query][q]), pa.array(ids[~is_query][c]), pa.array(s)], names=["query_id", "vec_id", "score"])
+            q, c, s = _search_plain(self.points, self.vec, self.row, queries, rows, floor, k)
+        return pa.RecordBatch.from_arrays([pa.array(rows[q]), pa.array(ids[q]), pa.array(self.vec[c]), pa.array(s)], names=["query_row", "query_id", "vec_id", "score"])
+
+
+def _arrays(batch: pa.RecordBatch):
+    ids, rows = np.asarray(batch.column("vec_id")), np.asarray(batch.column("row"))
+    floor = np.asarray(batch.column("floor").fill_null(-np.inf))
+    values = np.asarray(batch.column("vector").flatten()).astype(np.float64)
+    return ids, rows, floor, values.reshape(len(ids), -1) if len(values) else np.zeros((len(ids), 0))
+
+
+def _tasks(k: int, leaf: int):
+    """Reads rows ordered by (shard, size, query): the candidates of a shard, then
+    its queries, a batch of them at a time against the one tree."""
 
     def run(batches):
-        held, key = [], None
+        shard, key = None, None
         for batch in batches:
-            keys = list(zip(*(batch.column(x).to_pylist() for x in ("shard", "block", "size"))))
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            keys = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in ("shard", "size")] + [np.asarray(batch.column("query").cast(pa.int8())).astype(np.int64)])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), keys.shape[1]]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
-                if held and keys[a] != key:
-                    if (found := solve(pa.Table.from_batches(held))) is not None:
-                        yield found
-                    held = []
-                key = keys[a]
-                held.append(batch.slice(a, b - a))
-        if held and (found := solve(pa.Table.from_batches(held))) is not None:
-            yield found
+                if tuple(keys[:2, a]) != key:
+                    shard, key = _Shard(leaf), tuple(keys[:2, a])
+                part = batch.slice(a, b - a)
+                if not keys[2, a]:
+                    shard.add(part)
+                elif (found := shard.ask(part, k)) is not None:
+                    yield found
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf: int = LEAF) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, modulus: int = QUERY_MODULUS, shard_values: int = SHARD_VALUES, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by
-    ``modulus``, against all other rows."""
+    ``modulus``, against all other rows.  Each such row is a query of its own."""
     spark = vectors.sparkSession
+    tune(spark)
     work = Workspace(spark)
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * F.lit(SCALE))
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector")).where(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
     floors = F.transform("vector", lambda x: x - F.pmod(x, F.lit(1.0)))  # floor as a double: no overflow
-    rows = work.keep(usable.groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", floors.alias("vector"), F.size("vector").alias("size")), "vectors")
-    n, queries = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % modulus == 0)).first()
-    shards = max(math.ceil(n / shard_rows), min(8, math.ceil(n / 1024)), 1)
-    blocks = max(1, math.ceil(queries / block_rows))
-    candidates = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = rows.where(F.col("vec_id") % modulus == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int"))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    columns = ["shard", "block", "size", "query", "vec_id", "vector", "floor"]
-
-    def run(left: DataFrame, right: DataFrame) -> DataFrame:
-        key = ["shard", "block", "size"]
-        both = left.withColumn("query", F.lit(False)).withColumn("floor", F.lit(None).cast("double")).select(*columns).unionByName(right.withColumn("query", F.lit(True)).select(*columns))
-        return both.repartition(shards * blocks, *key).sortWithinPartitions(*key, "query").mapInArrow(_tasks(k, leaf), "query_id long, vec_id long, score long")
-
-    pilot = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    spread = candidates.withColumn("block", every(blocks))
-    first = work.keep(run(spread.where(F.col("shard") == pilot), asked.withColumn("shard", pilot).withColumn("floor", F.lit(None).cast("double"))), "pilot")
-    found = first
+    # the number of a row is fixed by writing it
+    rows = work.keep(usable.select(F.monotonically_increasing_id().alias("row"), "vec_id", floors.alias("vector"), F.size("vector").alias("size")), "vectors")
+    n, values = rows.agg(F.count(F.lit(1)), F.sum(F.greatest("size", F.lit(1)))).first()
+    shards = max(math.ceil((values or 0) / shard_values), min(8, math.ceil(n / 1024)), 1)
+    candidates = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    asked = rows.where(F.col("vec_id") % modulus == 0)
+    columns = ["shard", "size", "query", "row", "vec_id", "vector", "floor"]
+    none = F.lit(None).cast("double")
+
+    def run(queries: DataFrame) -> DataFrame:
+        both = candidates.withColumn("query", F.lit(False)).withColumn("floor", none).select(*columns).unionByName(queries.withColumn("query", F.lit(True)).select(*columns))
+        dealt = both.repartition(shards, "shard", "size").sortWithinPartitions("shard", "size", "query")
+        return dealt.mapInArrow(_tasks(k, leaf), "query_row long, query_id long, vec_id long, score long")
+
+    pilot = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(shards)).cast("int")
+    found = work.keep(run(asked.withColumn("shard", pilot).withColumn("floor", none)), "pilot")
     if shards > 1:
-        known = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).cast("double").alias("floor")).withColumnRenamed("query_id", "vec_id")
-        others = asked.join(known, "vec_id", "left").withColumn("shard", every(shards)).where(F.col("shard") != pilot)
-        found = first.unionByName(run(spread.where(F.col("shard") != pilot), others))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        known = found.groupBy("query_row").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).cast("double").alias("floor")).withColumnRenamed("query_row", "row")
+        others = asked.join(known, "row", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != pilot)
+        found = found.unionByName(run(others))
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -127,7 +127,7 @@ def test_ball_tree_search_is_exact():
     ids = rng.permutation(5000)[:700]
     queries, query_ids = points[:40], ids[:40]
     for floor in (-np.inf, 60.0):
-        q, c, s = search(BallTree(points, 16), points, ids, queries, query_ids, np.full(40, floor), 7)
+        q, c, s = search(BallTree(points, 16), points, ids, np.arange(700), queries, np.arange(40), np.full(40, floor), 7)
         got = {}
         for i, j, x in zip(q, c, s):
             got.setdefault(int(i), []).append((-int(x), int(ids[j])))

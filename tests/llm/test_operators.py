@@ -236,18 +236,32 @@ def test_topk(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in r.normal(size=5).round(1)]) for i in range(300)]
     rows += [(1000, None), (1020, [1.0, None, 2.0, 0.0, 1.0]), (1040, [float("nan")] * 5), (1060, [float("inf")] + [0.0] * 4), (1080, [1.0]), (None, rows[0][1]), rows[20], (1100, [1e30] * 5), (1101, [1e30, -1e30, 0.5, 0.0, 0.0])]
-    vectors = spark.createDataFrame([(*x, "c") for x in rows], "vec_id long, embedding array<float>, query string")
-    usable = {d: [int(np.floor(64 * float(np.float32(x)))) for x in v] for d, v in rows if d is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    rows += [(40, rows[41][1]), (20, rows[20][1]), (21, rows[20][1]), (21, rows[20][1]), (2000, [16000.0] * 5), (2001, [16000.0, 16383.0, 0.25, -1.0, 2.0])]
+    vectors = spark.createDataFrame([(*x, "c") for x in rows], "vec_id long, embedding array<float>, query string").repartition(3)
+    usable = [(d, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for d, v in rows if d is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in usable.items():
+    for i, (q, v) in enumerate(usable):
         if q % 20 == 0:
-            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, u)))), c) for c, u in usable.items() if c != q and len(u) == len(v))
-            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scores[:20])]
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, u)))), c) for j, (c, u) in enumerate(usable) if j != i and len(u) == len(v))
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:20])]
     same([tuple(x) for x in top_k(vectors).collect()], want)
-    same([tuple(x) for x in top_k(vectors, shard_rows=40, block_rows=5, leaf=8).collect()], want)
+    same([tuple(x) for x in top_k(vectors, shard_values=200, leaf=8).collect()], want)
     assert top_k(vectors.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    # near 2**20 in size: scores of 50 bits, in one shard of more rows than a byte counts
+    r = np.random.default_rng(4)
+    values = r.integers(2**20 - 4, 2**20, (900, 64))
+    rows = [(i, [float(x) / 64 for x in v]) for i, v in enumerate(values)]
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=16).collect()
+    want = []
+    for q in range(0, 900, 20):
+        scores = sorted((-int(s), c) for c, s in enumerate(values @ values[q]) if c != q)
+        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scores[:20])]
+    same([tuple(x) for x in found], want)
+
+
 def test_pieces(docs):
     rows = {r[1] for r in awkward()}
     back = decode_documents(encode_documents(docs)).collect()
