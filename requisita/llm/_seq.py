@@ -207,7 +207,4 @@ def window_key(prefix: Prefix, s: np.ndarray, e: np.ndarray, anchor: np.ndarray)
 
 def spans_mask(n: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """True where any of the ranges [s, e) covers a position of n."""
-    delta = np.zeros(n + 1, np.int32)
-    np.add.at(delta, s, 1)
-    np.add.at(delta, e, -1)
-    return np.cumsum(delta[:-1]) > 0
+    return np.cumsum(np.bincount(s, minlength=n + 1)[:n] - np.bincount(e, minlength=n + 1)[:n]) > 0

@@ -76,13 +76,29 @@ class Content:
             s, e = places
             self.size = e - s
             self.at = np.concatenate([[0], np.cumsum(self.size)])
-            self.bytes = buf[spans_mask(len(buf), s, e)]
-
-    def same(self, a: int, b: int, n: int) -> bool:
-        if self.size is None:
-            return np.array_equal(self.bytes[a : a + n], self.bytes[b : b + n])
-        at = self.at
-        return np.array_equal(self.size[a : a + n], self.size[b : b + n]) and np.array_equal(self.bytes[at[a] : at[a + n]], self.bytes[at[b] : at[b + n]])
+            self.bytes = buf[spans_mask(len(buf), s, e)] if len(s) else buf[:0]
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Whether the n symbols from a on are those from b on, for many ranges."""
+        out = np.ones(len(n), bool)
+        for part in np.array_split(np.arange(len(n)), max(1, int(n.sum()) // most)):
+            x, y, m = a[part], b[part], n[part]
+            if self.size is not None:
+                equal = _all_equal(self.size, x, y, m)
+                out[part] = equal
+                part, x, y, m = part[equal], x[equal], y[equal], m[equal]
+                x, y, m = self.at[x], self.at[y], self.at[x + m] - self.at[x]
+            out[part] &= _all_equal(self.bytes, x, y, m)
+        return out
+
+
+def _all_equal(values: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether values[a : a + n] and values[b : b + n] are the same; n > 0."""
+    if not len(n):
+        return np.zeros(0, bool)
+    to = np.cumsum(n)
+    within = np.arange(to[-1]) - np.repeat(to - n, n)
+    return np.logical_and.reduceat(values[np.repeat(a, n) + within] == values[np.repeat(b, n) + within], to - n)
 
 
 def _extent_rows(unit: str, width: int, k: int, prints) -> Callable:
@@ -105,12 +121,16 @@ def _extent_rows(unit: str, width: int, k: int, prints) -> Callable:
                 new[1:], new[0] = ~new[1:], True
                 heads = np.flatnonzero(new)
                 n = np.diff(np.append(heads, len(order)))
-                content, apart = None, np.zeros(len(heads), bool)
-                for h in np.flatnonzero(n > 1):
-                    content = content or Content(chunk, places)
-                    a, *rest = order[heads[h] : heads[h] + n[h]]
-                    size = last[a] - first[a] + width
-                    apart[h] = not all(last[b] - first[b] + width == size and content.same(x.first[a], x.first[b], size) for b in rest)
+                apart = np.zeros(len(heads), bool)
+                if (n > 1).any():
+                    # what has equal fingerprints in one text is compared at once
+                    group = np.repeat(np.arange(len(heads)), n)
+                    rest = np.flatnonzero(~new)
+                    a, b = order[heads[group[rest]]], order[rest]
+                    size = last[a] - first[a]
+                    alike = last[b] - first[b] == size
+                    alike[alike] = Content(chunk, places).same(x.first[a[alike]], x.first[b[alike]], size[alike] + width)
+                    apart[group[rest[~alike]]] = True
                 folded = n * ~apart
                 at = np.concatenate([order[heads[~apart]], order[np.repeat(apart, n)]])
                 count = np.concatenate([n[~apart], np.ones(n[apart].sum(), np.int64)])
@@ -166,6 +186,7 @@ def find(texts: DataFrame, work: Workspace, unit: str, width: int, k: int, most:
     mixed = shared.where("mixed")
     classes = work.keep(mixed.groupBy("gram", "body").agg(F.sum("n").alias("rows"), F.min(F.struct("doc_id", "mark", "first", "last")).alias("at")), "classes")
     open_grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.max(F.col("rows") == 1).alias("left")).where("left").select("gram", F.ceil(F.col("classes") / most).cast("int").alias("parts"))
+    open_grams = work.keep(open_grams, "open-grams")
     opened = work.keep(
         classes.join(open_grams, "gram").select("at.*", "gram", (F.col("rows") == 1).alias("alone"), "parts", F.pmod(F.hash("body"), "parts").alias("part")),
         "open",
@@ -175,7 +196,7 @@ def find(texts: DataFrame, work: Workspace, unit: str, width: int, k: int, most:
         mixed.join(classes.where("rows > 1").select("gram", "body"), ["gram", "body"], "left_semi").select(*KEY, "first", "last", name)
     )
     known = work.keep(known, "known")
-    for done in ("shared", "classes", "grams"):
+    for done in ("shared", "classes", "grams", "open-grams"):
         work.drop(done)
     return Repeats(known, opened)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._seq import Prefix, chunks, column_bytes, mix
+from ._seq import Prefix, chunks, column_bytes, mix, spans_mask
 from ._shared import Workspace
 from .repeats import KEY, KEYS, PRINTS, compact, covered, find, finish, keyed, list_column, mark_of, numbers, symbols_of, with_ranges
 
@@ -137,10 +137,7 @@ def _joined(chunk, s, e, stay, bounds, start=None, end=None):
     if len(out):
         letters = np.ones(len(out), bool)
         letters[total[1:][stay] - 1] = False
-        delta = np.zeros(len(chunk) + 1, np.int32)
-        delta[s[stay]] += 1
-        np.add.at(delta, e[stay], -1)
-        out[letters] = chunk[np.cumsum(delta[:-1]) > 0]
+        out[letters] = chunk[spans_mask(len(chunk), s[stay], e[stay])]
     a, b = (total[bounds[:-1]], total[bounds[1:]]) if start is None else (total[start], total[end])
     return out.tobytes(), [(x, max(x, y - 1)) for x, y in zip(a.tolist(), b.tolist())]
 
@@ -148,11 +145,8 @@ def _joined(chunk, s, e, stay, bounds, start=None, end=None):
 def _texts(chunk, own, s, text_of, gone) -> list[str]:
     """Texts without the bytes from the start of a cut word to the start of the
     next word."""
-    lost = np.zeros(len(chunk) + 1, np.int32)
-    np.add.at(lost, s[gone], 1)
     following = np.minimum(np.append(s[1:], len(chunk)), own[1:][text_of])
-    np.add.at(lost, following[gone], -1)
-    keep = np.cumsum(lost[:-1]) <= 0
+    keep = ~spans_mask(len(chunk), s[gone], following[gone])
     left = np.concatenate([[0], np.cumsum(keep)])[own]
     rest = chunk[keep].tobytes()
     return [rest[a:b].decode("utf-8", "replace") for a, b in zip(left[:-1], left[1:])]
