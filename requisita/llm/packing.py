@@ -31,8 +31,8 @@ from ._shared import Workspace, bare_documents, tune
 CAPACITIES = (256, 512, 1024, 2048)
 #: What opening a sequence costs, in words, beside its length.
 OPENING = 16
-#: Documents of a shard, on average.
-SHARD_ROWS = 20_000
+#: Pieces of a shard, on average.
+SHARD_PIECES = 20_000
 
 
 def pack(lengths: np.ndarray, capacities=CAPACITIES, opening: int = OPENING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,21 +109,22 @@ def _pack_shards(capacities, opening: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacities=CAPACITIES, opening: int = OPENING, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacities=CAPACITIES, opening: int = OPENING, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """doc_id, piece, start (first word), length, bin, capacity, place (in the
     sequence): one row for each piece."""
     tune(docs.sparkSession)
     work = Workspace(docs.sparkSession)
     most = max(capacities)
-    lengths = work.keep(bare_documents(docs).mapInArrow(_lengths, "doc_id long, length long"), "lengths")
-    n = lengths.count()
-    shards = max(1, math.ceil(n / shard_rows))
-    cut = lengths.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("length") / most).cast("int") - 1)))).select(
+    # the number of a row is fixed by writing it; it deals equal rows to different shards
+    lengths = bare_documents(docs).mapInArrow(_lengths, "doc_id long, length long").withColumn("row", F.monotonically_increasing_id())
+    lengths = work.keep(lengths.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("length") / most)).cast("int")), "lengths")
+    shards = max(1, math.ceil((lengths.agg(F.sum("pieces")).first()[0] or 0) / shard_pieces))
+    cut = lengths.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
         "doc_id",
         "piece",
         (F.col("piece").cast("long") * most).alias("start"),
         F.least(F.lit(most), F.col("length") - F.col("piece").cast("long") * most).alias("length"),
-        F.pmod(F.xxhash64("doc_id", "length", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"),
     )
     dealt = cut.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("length"), F.asc_nulls_first("doc_id"), "piece")
     return dealt.mapInArrow(_pack_shards(tuple(capacities), opening), "doc_id long, piece int, start long, length long, bin long, capacity long, place long")
