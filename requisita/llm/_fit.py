@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that a classifier is fitted on at most, and the
-#: characters that a row gives at most where texts come to the driver (a slice at
-#: a hashed place of a longer text).
+#: Labelled rows of each class that a classifier is fitted on at most.  Where
+#: texts come to the driver, they come whole, and only so many rows of the sample
+#: (in the order of a hash) as have this many characters together.
 SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 24_000_000
 
 
 def remainder(of: Column, modulus: int) -> Column:
@@ -45,17 +46,24 @@ def class_weights(y: np.ndarray, counts: dict) -> np.ndarray:
     return weight
 
 
+def within(sample: DataFrame, chars: int, *by: str) -> DataFrame:
+    """The first rows of a bounded sample, for each value of ``by``, whose texts
+    have at most ``chars`` characters together; the first of all in any case."""
+    order = W.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    total = F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return sample.withColumns({"_total": total, "_turn": F.row_number().over(order)}).where((F.col("_total") <= chars) | (F.col("_turn") == 1)).drop("_total", "_turn")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, kept_out: int, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
-    """Texts, labels and weights.  The few picked ids are broadcast, so no text
-    is shuffled."""
+    """Whole texts, labels and weights.  The few picked ids are broadcast, so no
+    text is shuffled but those of the sample."""
     picked, counts = picked_labels(labels, label, modulus, kept_out, rows)
     if picked is None:
         return [], np.zeros(0), np.zeros(0)
-    at = 1 + F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.greatest(F.length("text") - chars, F.lit(1)))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    got = found.select("doc_id", "y", F.coalesce(F.substr("text", at, F.lit(chars)), F.lit("")).alias("text")).orderBy("doc_id", "y", "text").limit(4 * rows).collect()
-    y = np.array([r["y"] for r in got], np.float64)
-    return [r["text"] for r in got], y, class_weights(y, counts)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    got = within(found.select("doc_id", "y", "text").limit(4 * rows), chars).orderBy("doc_id", "y", "text").toArrow()
+    y = got.column("y").to_numpy().astype(np.float64)
+    return got.column("text").to_pylist(), y, class_weights(y, counts)
 
 
 def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,14 +1,17 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
 Tokens are runs of letters, lower-cased; a token's features are itself and its
-first three to six bytes, hashed into one weight table.  The field has two states
-and a 2 x 2 transition matrix, and chains of at most ``CHAIN`` consecutive
-tokens, so that texts of any length cost the same per token and many chains run
-side by side.
+first three to eight bytes where it is longer, hashed into one weight table.  The
+field has two states and a 2 x 2 transition matrix; a chain is a whole text.  Its
+marginals are computed a block of tokens at a time: the product of a block's
+transfer matrices takes a message across it in one step, so that the blocks of
+all texts run side by side.  Training takes blocks of the sample as chains of
+their own.
 
 Only documents have labels, so token labels are derived from them: features
-that occur in many toxic documents of the sample and hardly in clean ones, or
-that explain toxic documents which no other does, are incriminated; a token of a toxic document that has such a feature is labelled
+that occur (once, or several times) in many toxic documents of the sample and
+hardly in clean ones, or that explain toxic documents which no other does, are
+incriminated; a token of a toxic document that has such a feature is labelled
 toxic, all others clean.  The field is trained on those labels by
 forward-backward and Adagrad.  Its marginals give the spans; their maximum and sum over the
 whole text give the document score, by a logistic layer fitted on the documents.
@@ -30,9 +33,10 @@ from ._fit import flat, held_out, labelled_sample, logistic, sigmoid
 from ._seq import U64, Prefix, alphabet, chunks, column_bytes, letter_runs, lower_ascii, mix
 from ._shared import bare_documents, tune
 
-CHAIN = 64
+#: Tokens of a block.
+BLOCK = 64
 TABLE_BITS = 18
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 #: A span is a run of tokens whose marginal is at least this.
 SPAN = 0.5
@@ -47,14 +51,14 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int = TABLE_BITS) -> tu
     shift = U64(64 - bits)
     out[:, 0] = (mix(prefix.of(s, e) + U64(101)) >> shift).astype(np.int32)
     for i, n in enumerate(PREFIXES):
-        to = np.minimum(s + n, e)
-        # a token shorter than n shares the number of its whole self
-        out[:, i + 1] = (mix(prefix.of(s, to) + (to - s).astype(U64)) >> shift).astype(np.int32)
+        # a word and longer words that begin with it differ; a token of n bytes or fewer is itself
+        part = (mix(prefix.of(s, np.minimum(s + n, e)) + U64(n)) >> shift).astype(np.int32)
+        out[:, i + 1] = np.where(e - s > n, part, out[:, 0])
     return out, s, e, first
 
 
-def chains(first: np.ndarray, length: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """First token and number of tokens of each chain."""
+def blocks(first: np.ndarray, length: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """First token and number of tokens of each block of each text."""
     n = np.diff(first)
     parts = -(-n // length)
     text = np.repeat(np.arange(len(n)), parts)
@@ -113,6 +117,63 @@ class Field:
                 b0[:n], b1[:n] = c0 / total, c1 / total
         return (out, expected) if pairs else out
 
+    def text_marginals(self, rows: np.ndarray, first: np.ndarray, length: int = BLOCK) -> np.ndarray:
+        """Marginal of state 1 for each token, each text being one chain."""
+        odds = np.exp(np.clip(self.emission[rows].sum(1, dtype=np.float64) + self.bias, -30, 30))
+        start, size = blocks(first, length)
+        out = np.zeros(len(rows))
+        if not len(start):
+            return out
+        text = np.searchsorted(first, start, "right") - 1
+        head = start == first[text]
+        order = np.argsort(-size, kind="stable")
+        start, size, head = start[order], size[order], head[order]
+        live = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]) + 1)]
+        t = np.exp(self.transition)
+
+        def step(a, k):
+            """Message a (.., 2) taken to token k of the blocks that have one."""
+            on = odds[start[: len(a)] + k]
+            on = on.reshape(on.shape + (1,) * (a.ndim - 2))
+            moved0, moved1 = a[..., 0] * t[0, 0] + a[..., 1] * t[1, 0], a[..., 0] * t[0, 1] + a[..., 1] * t[1, 1]
+            if k == 0:  # no transition leads to the first token of a text
+                none = head.reshape(head.shape + (1,) * (a.ndim - 2))
+                moved0, moved1 = np.where(none, a[..., 0], moved0), np.where(none, a[..., 1], moved1)
+            return np.stack([moved0, moved1 * on], -1)
+
+        # the transfer matrix of each block, then messages from block to block
+        product = np.broadcast_to(np.eye(2), (len(start), 2, 2)).copy()
+        for k, n in enumerate(live[:-1]):
+            p = step(product[:n], k)
+            product[:n] = p / p.sum((1, 2), keepdims=True)
+        block = np.empty(len(order), np.int64)
+        block[order] = np.arange(len(order))  # blocks in the order of texts
+        turn = np.arange(len(block)) - np.searchsorted(text, text, "left")
+        left, right = np.ones((len(start), 2)), np.ones((len(start), 2))
+        by_turn = np.argsort(turn, kind="stable")
+        cuts = np.searchsorted(turn[by_turn], np.arange(1, int(turn.max()) + 1))
+        for own in np.split(by_turn, cuts)[1:]:
+            m = np.einsum("ni,nij->nj", left[block[own - 1]], product[block[own - 1]])
+            left[block[own]] = m / m.sum(1, keepdims=True)
+        for own in np.split(by_turn, cuts)[:0:-1]:
+            m = np.einsum("nij,nj->ni", product[block[own]], right[block[own]])
+            right[block[own - 1]] = m / m.sum(1, keepdims=True)
+
+        forward = np.empty((len(live) - 1, len(start), 2))
+        a = left
+        for k, n in enumerate(live[:-1]):
+            a = step(a[:n], k)
+            a = forward[k, :n] = a / a.sum(1, keepdims=True)
+        for k in range(len(live) - 2, -1, -1):
+            n = live[k]
+            p = forward[k, :n] * right[:n]
+            out[start[:n] + k] = p[:, 1] / p.sum(1)
+            if k:
+                b0, b1 = right[:n, 0], right[:n, 1] * odds[start[:n] + k]
+                b = np.column_stack([t[0, 0] * b0 + t[0, 1] * b1, t[1, 0] * b0 + t[1, 1] * b1])
+                right[:n] = b / b.sum(1, keepdims=True)
+        return out
+
     def fit(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 2048, seed: int = 3) -> None:
         """Adagrad on the likelihood of the token labels."""
         random = np.random.default_rng(seed)
@@ -158,22 +219,31 @@ def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def token_labels(rows: np.ndarray, first: np.ndarray, y: np.ndarray, bits: int = TABLE_BITS, least: int = 5, share: float = 0.02, common: float = 0.03) -> np.ndarray:
+def token_labels(rows: np.ndarray, first: np.ndarray, y: np.ndarray, bits: int = TABLE_BITS, least: int = 5, share: float = 0.05, common: float = 0.03, times: int = 3) -> np.ndarray:
     """1 for tokens of toxic texts with an incriminated feature.
 
-    Suspects are features that ``least`` toxic texts have and, beside them, less
-    than ``share`` as many clean ones.  Incriminated are those that a share
-    ``common`` of the toxic texts have, and then, one by one, the suspect that
-    explains most toxic texts not explained yet, while it explains ``least``."""
+    Suspects are features that ``least`` toxic texts hold so many times (once, or
+    twice, up to ``times``) and, beside them, at most ``share`` as many clean ones
+    do.  Incriminated are those that a share ``common`` of the toxic texts hold,
+    and then, one by one, the suspect that explains most toxic texts not
+    explained yet, while it explains ``least``."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     cuts = [*range(0, len(y), 100), len(y)]  # some texts at a time bound the sort
-    pairs = np.concatenate([np.unique(text[first[a] : first[b], None] * (1 << bits) + rows[first[a] : first[b]]) for a, b in zip(cuts[:-1], cuts[1:])])
+    # a short token stands for its prefixes too, and counts once
+    once = np.ones(rows.shape, bool)
+    once[:, 1:] = rows[:, 1:] != rows[:, :1]
+    found = [np.unique((text[p:q, None] * (1 << bits) + rows[p:q])[once[p:q]], return_counts=True) for p, q in ((first[a], first[b]) for a, b in zip(cuts[:-1], cuts[1:]))]
+    pairs, held = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     of, feature = pairs >> bits, pairs & ((1 << bits) - 1)
-    toxic = np.bincount(feature, weights=y[of], minlength=1 << bits)
-    clean = np.bincount(feature, weights=1 - y[of], minlength=1 << bits)
-    suspect = (toxic >= least) & (clean <= share * toxic)
-    bad = suspect & (toxic >= common * y.sum())
-    on = suspect[feature] & (y[of] > 0)
+    level, strong = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
+    for n in range(times, 0, -1):
+        on = held >= n
+        toxic = np.bincount(feature[on], weights=y[of[on]], minlength=1 << bits)
+        clean = np.bincount(feature[on], weights=1 - y[of[on]], minlength=1 << bits)
+        suspect = (toxic >= least) & (clean <= share * toxic)
+        level[suspect], strong[suspect] = n, toxic[suspect]
+    bad = strong >= max(least, common * y.sum())
+    on = (level[feature] > 0) & (held >= level[feature]) & (y[of] > 0)
     of, feature = of[on], feature[on]
     explained = np.zeros(len(y), bool)
     explained[of[bad[feature]]] = True
@@ -197,9 +267,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, kept_out:
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[3]) for p in parts]))])
     del parts
     field = Field()
-    start, size = chains(first)
-    field.fit(rows, start, size, token_labels(rows, first, y))
-    field.document = logistic(field.summary(field.marginals(rows, start, size), first), y, weight)
+    field.fit(rows, *blocks(first), token_labels(rows, first, y))
+    # some texts at a time bound the scratch arrays
+    cuts = [*range(0, len(y), 200), len(y)]
+    p = np.concatenate([field.text_marginals(rows[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in zip(cuts[:-1], cuts[1:])])
+    field.document = logistic(field.summary(p, first), y, weight)
     return field
 
 
@@ -211,7 +283,7 @@ def _score(field: Field | None, threshold: float, spans: bool):
             if field:
                 for i, j in chunks(offsets):
                     rows, s, e, first = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    p = field.marginals(rows, *chains(first))
+                    p = field.text_marginals(rows, first)
                     score[i:j] = field.score(field.summary(p, first))
                     if spans:
                         hot = np.flatnonzero(p >= SPAN)
