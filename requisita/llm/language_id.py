@@ -19,20 +19,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._fit import Adam, flat, held_out
+from ._fit import Adam, flat, held_out, within
 from ._seq import chunks, column_bytes
 from ._shared import tune
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 WINDOW = 256
-#: Documents of each language, and windows of each of them, to learn from at most.
+#: Documents of each language to learn from at most, as a rule; of them the first,
+#: in the order of a hash, whose whole texts have so many characters together; and
+#: the characters of all languages (a share of at least one document for each).
 SAMPLE_ROWS = 1200
-SAMPLE_WINDOWS = 3
-#: Languages (the most frequent ones) at most.
-LANGUAGES = 200
+SAMPLE_CHARS = 1_000_000
+SAMPLE_CHARS_ALL = 24_000_000
 NONE = "und"
 
 
@@ -131,25 +133,29 @@ class ByteNet:
                 adam.step([*gradients, active.T @ g + 1e-4 * self.out, g.sum(0)])
 
 
-def fit_language_model(docs: DataFrame, learn: F.Column, rows: int = SAMPLE_ROWS, per_text: int = SAMPLE_WINDOWS, window: int = WINDOW) -> ByteNet | None:
-    """A network fitted on at most ``rows`` documents of each language among
-    those that ``learn`` admits; None if there are none."""
-    usable = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+def fit_language_model(docs: DataFrame, learn: F.Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, window: int = WINDOW) -> ByteNet | None:
+    """A network for all languages, fitted on whole texts of a bounded sample of
+    each among the documents that ``learn`` admits; None if there are none."""
+    usable = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").toArrow()
+    if not len(counts):
         return None
-    languages = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows / r["n"]))])
+    languages = counts.column("lang").to_pylist()
+    chars = max(window, min(chars, SAMPLE_CHARS_ALL // len(languages)))
+    spark = docs.sparkSession
+    # twice the rows that are wanted, on average, so that hardly any language lacks some
+    share = spark.createDataFrame([(x, min(1.0, 2 * rows / n)) for x, n in zip(languages, counts.column("n").to_pylist())], "lang string, share double")
     lot = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    slices = F.array(*[F.substr("text", (1 + F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(F.length("text") - window, F.lit(1)))), F.lit(window)) for i in range(per_text)])
-    sample = usable.where(lot < share[F.col("lang")]).select("doc_id", "lang", slices.alias("slices")).orderBy(F.xxhash64("doc_id")).limit(2 * rows * len(languages)).collect()
-    texts = [(s, r["lang"]) for r in sample for s in r["slices"]]
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    sample = usable.join(F.broadcast(share), "lang").where(lot < F.col("share")).withColumn("turn", turn).where(F.col("turn") <= rows).drop("turn", "share")
+    got = within(sample, chars, "lang").orderBy("lang", "doc_id", "text").toArrow()
+    texts = got.column("text").to_pylist()
     if not texts:
         return None
-    found, of, _ = windows_of(*flat([t for t, _ in texts]), window, max(WIDTHS) - 1)
+    found, of, _ = windows_of(*flat(texts), window, max(WIDTHS) - 1)
     net = ByteNet(languages)
     number = {x: i for i, x in enumerate(languages)}
-    net.fit(found, np.array([number[x] for _, x in texts])[of])
+    net.fit(found, np.array([number[x] for x in got.column("lang").to_pylist()])[of])
     return net
 
 
