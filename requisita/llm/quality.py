@@ -4,7 +4,8 @@ Random indexing: each of ``buckets`` hashed words has a sparse index vector of
 +1 and -1; a word's vector is the sum of the index vectors of the words around
 it in all documents, normalised, plus its own.  Words are runs of one class of
 bytes (small letters, capitals, digits, signs), and each also counts by its
-shape (class and length), so that words never seen still say something.  The
+shape (class and length, or that it repeats the word before), so that words never
+seen still say something.  The
 vectors of all words of the whole text are pooled into their mean, its length
 and the logarithm of the number of words.  A network with one hidden layer gives
 the score, with a temperature fitted on rows that the network has not seen.
@@ -30,6 +31,8 @@ DIMENSIONS = 48
 HIDDEN = 24
 THRESHOLD = 0.3
 _SHAPES = 64
+#: The shape of a word that stands there once more.
+_AGAIN = 60
 
 
 def byte_classes() -> np.ndarray:
@@ -58,7 +61,12 @@ def tokens(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tupl
     h = mix(Prefix(alphabet()[buf]).of(s, e) + (e - s).astype(U64))
     word = _SHAPES + (h % U64(buckets - _SHAPES)).astype(np.int64)
     shape = kind[s].astype(np.int64) * 12 + np.minimum(e - s, 11)
-    return word, shape, np.searchsorted(offsets, s, "right") - 1
+    text = np.searchsorted(offsets, s, "right") - 1
+    again = np.zeros(len(s), bool)
+    again[1:] = (word[1:] == word[:-1]) & (text[1:] == text[:-1])
+    again[2:] |= (word[2:] == word[:-2]) & (text[2:] == text[:-2]) & (kind[s[2:]] < 3)  # a sign between
+    shape[again] = _AGAIN
+    return word, shape, text
 
 
 def index_vectors(buckets: int, dimensions: int, ones: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -108,19 +116,23 @@ def word_vectors(total: np.ndarray) -> np.ndarray:
     own = np.zeros((buckets, dimensions))
     for j in range(place.shape[1]):
         np.add.at(own, (np.arange(buckets), place[:, j]), sign[:, j] / 2)
-    return (vectors + own).astype(np.float32)
+    return vectors + own
 
 
-def pool(buf: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def pool(buf: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, most: int = 1 << 15) -> np.ndarray:
     """Mean vector over all words, mean over their shapes, lengths of both, and
     the logarithm of the number of words."""
     n, buckets = len(offsets) - 1, len(vectors)
     word, shape, text = tokens(buf, offsets, buckets)
-    count = np.bincount(text, minlength=n).astype(np.float32)[:, None]
-    words = np.bincount(text * buckets + word, minlength=n * buckets).reshape(n, buckets).astype(np.float32)
-    shapes = np.bincount(text * _SHAPES + shape, minlength=n * _SHAPES).reshape(n, _SHAPES).astype(np.float32)
-    share = np.maximum(count, 1)
-    means = [words @ vectors / share, shapes @ vectors[:_SHAPES] / share]
+    count = np.bincount(text, minlength=n)[:, None]
+    means = [np.zeros((n, vectors.shape[1])) for _ in range(2)]
+    for i in range(0, len(text), most):  # so many words at a time bound the memory
+        own = text[i : i + most]
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        for mean, bucket in zip(means, (word, shape)):
+            mean[own[heads]] += np.add.reduceat(vectors[bucket[i : i + most]], heads)
+    for mean in means:
+        mean /= np.maximum(count, 1)
     return np.hstack([*means, *(np.linalg.norm(m, axis=1, keepdims=True) for m in means), np.log1p(count) / 10])
 
 
