@@ -205,3 +205,102 @@ def test_viterbi_is_best_by_brute_force():
 def test_round_trip(text):
     codec = PieceCodec(default_model())
     assert codec.decode(codec.encode(text).tolist()) == text.replace("▁", " ")
+
+
+@pytest.mark.parametrize("opening", [0, 16, 200])
+def test_pack_chooses_among_capacities(opening):
+    """Against the rule taken literally, in square time."""
+    rng = np.random.default_rng(6)
+    for trial in range(20):
+        sizes = np.sort(rng.integers(1, 257, 60))[::-1]
+        capacities, bins, want = (64, 128, 256), [], []
+        for i, size in enumerate(sizes):
+            fits = [(c - sum(own), b) for b, (c, own) in enumerate(bins) if c - sum(own) >= size]
+            if fits:
+                b = min(fits)[1]
+            else:
+                cost = lambda c: (c + opening) / (size + min(c - size, sum(x for x in sizes[i + 1 :] if x <= c - size)))
+                b = len(bins)
+                bins.append((min((c for c in capacities if c >= size), key=cost), []))
+            want.append((b, sum(bins[b][1])))
+            bins[b][1].append(size)
+        bin_of, place, capacity = pack(sizes, capacities, opening)
+        assert list(zip(bin_of, place)) == want
+        assert capacity.tolist() == [min(c for c in capacities if c >= sum(own)) for _, own in bins]
+
+
+def test_responses_are_those_of_a_plain_convolution():
+    from requisita.llm.language_id import ByteNet
+
+    rng = np.random.default_rng(7)
+    net = ByteNet(["a", "b"], seed=3)
+    rows = rng.integers(0, 256, (5, 40)).astype(np.uint8)
+    want = [[max(sum(taps[j, row[p + j], f] for j in range(len(taps))) for p in range(40 - 4 + 1)) for taps in net.taps for f in range(net.filters)] for row in rows]
+    assert np.allclose(net.pooled(rows)[0], want, atol=1e-4) and np.allclose(net.fast()(rows), want, atol=1e-4)
+
+
+@pytest.mark.parametrize("length", [2, 3, 64])
+def test_marginals_are_those_of_all_labellings(length):
+    from itertools import product
+
+    from requisita.llm.toxicity import Field
+
+    rng = np.random.default_rng(8)
+    field = Field(4)
+    field.emission[:] = rng.normal(0, 1, 16)
+    field.bias, field.transition = np.float32(-0.3), rng.normal(0, 1, (2, 2))
+    sizes = [5, 0, 1, 9, 2, 7]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    rows = rng.integers(0, 16, (first[-1], 3)).astype(np.int32)
+    score = field.emission[rows].sum(1) + field.bias
+    want = []
+    for a, b in zip(first[:-1], first[1:]):
+        total, on = 0.0, np.zeros(b - a)
+        for states in product((0, 1), repeat=b - a):
+            w = np.exp(sum(s * x for s, x in zip(states, score[a:b])) + sum(field.transition[x, y] for x, y in zip(states, states[1:])))
+            total, on = total + w, on + w * np.array(states)
+        want += list(on / total)
+    assert np.allclose(field.text_marginals(rows, first, length), want)
+
+
+def test_pooling_and_word_vectors_by_hand():
+    from requisita.llm.quality import _context, index_vectors, pool, tokens, word_vectors
+
+    texts = ["One two, two two 33", "", "x", "y y y y y y y " * 40]
+    buf, offsets = flat(texts)
+    word, shape, text = tokens(buf, offsets, 256)
+    place, sign = index_vectors(256, 8)
+    index = np.zeros((256, 8))
+    for b in range(256):
+        for p, s in zip(place[b], sign[b]):
+            index[b, p] += s
+    total = np.zeros((256, 8))
+    for i in range(len(word)):
+        for j in range(max(0, i - 2), min(len(word), i + 3)):
+            if j != i and text[i] == text[j]:
+                total[word[i]] += index[word[j]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = next(_context(256, 8, 2)([batch])).to_pandas().set_index("bucket")
+    assert np.array_equal(np.array([got.loc[b] if b in got.index else np.zeros(8) for b in range(256)]), total)
+    vectors = word_vectors(total)
+    assert np.allclose(vectors, total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) + index / 2)
+    for most in (2, 1 << 15):
+        pooled = pool(buf, offsets, vectors, most)
+        for t in range(len(texts)):
+            on = text == t
+            means = [vectors[b[on]].sum(0) / max(1, on.sum()) for b in (word, shape)]
+            assert np.allclose(pooled[t], [*means[0], *means[1], *(np.linalg.norm(m) for m in means), np.log1p(on.sum()) / 10])
+
+
+def test_temperature_calibrates():
+    from requisita.llm.quality import Network
+
+    # labels that no feature explains: an overconfident network is cooled down
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(300, 40)), (rng.random(300) < 0.5).astype(float)
+    net = Network(x, y, np.ones(300))
+    loss = lambda p: -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+    hot = net.score(x)
+    assert net.temperature > 1
+    net.temperature = 1.0
+    assert abs(net.score(x) - 0.5).mean() > abs(hot - 0.5).mean() and np.isfinite(loss(np.clip(hot, 1e-6, 1 - 1e-6)))

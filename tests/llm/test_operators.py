@@ -115,7 +115,8 @@ def test_index_splits_overfull_buckets(spark, capacity):
 
 def test_chains_tell_colliding_texts_apart(spark, monkeypatch):
     # all texts of one length get one hash
-    monkeypatch.setattr(F, "xxhash64", lambda *c: F.length(c[0].cast("string") if not isinstance(c[0], str) else F.col(c[0]).cast("string")).cast("long"))
+    length = lambda c: F.length((F.col(c) if isinstance(c, str) else c).cast("string"))
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.shiftleft(length(c[0]).cast("long"), 60))
     rows = [(i, f"text {i % 7}") for i in range(100)] + [(200 + i, f"longer {i % 3}") for i in range(9)]
     found = dedup_exact(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1).collect()
     groups = {}
@@ -221,6 +222,13 @@ def test_minhash_dedup(docs, block):
     same([tuple(r) for r in link_components(docs, block=block).collect()], want)
 
 
+def test_minhash_of_texts_that_share_an_id(spark):
+    a, b = passage(61, 90), passage(62, 90)
+    rows = [(5, a), (5, b), (6, a + " more"), (8, b + " more"), (9, passage(63, 90)), (9, None), (4, passage(64, 40)), (4, passage(64, 40))]
+    found = link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in found], [(d, len(shingles(t)), {6: 5, 8: 5}.get(d, d)) for d, t in rows])
+
+
 def test_minhash_finds_links_that_stars_miss(spark):
     # a chain: each text replaces some more words of one base, so that far ones are no longer similar
     words, rows = passage(9, 200).split(" "), []
@@ -267,11 +275,13 @@ def test_pieces(docs):
     back = decode_documents(encode_documents(docs)).collect()
     assert {r.text for r in back} == rows and len(back) == len(awkward())
     found = round_trip(docs)
+    signs = round_trip(docs.sparkSession.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.exact for r in signs} == {1: False, 2: True}
     assert found.where("not exact").count() == 0 and found.where("exact is null").count() == sum(r[1] is None for r in awkward())
 
 
 def test_packing(docs):
-    found = pack_documents(docs, (16, 64, 256), shard_rows=7).collect()
+    found = pack_documents(docs, (16, 64, 256), shard_pieces=7).collect()
     rows = [(r[0], len(WORD.findall(r[1] or ""))) for r in awkward()]
     assert sum(r.length for r in found) == sum(n for _, n in rows)
     by = {}
@@ -340,11 +350,25 @@ def test_held_out_accuracy(spark):
         assert right > 0.97, label
 
 
-def test_labels_of_held_out_rows_are_not_learnt(spark):
+@pytest.mark.parametrize("label", ["toxic", "quality", "lang"])
+def test_labels_of_held_out_rows_are_not_learnt(spark, label):
     docs, labels = labelled(spark)
-    held = {r.doc_id for r in score_toxicity(docs, labels).where("held_out").collect()}
-    flipped = labels.withColumn("toxic", F.when(F.col("doc_id").isin(*held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    same([tuple(r) for r in score_toxicity(docs, labels, spans=False).collect()], [tuple(r) for r in score_toxicity(docs, flipped, spans=False).collect()])
+    score = {"toxic": lambda d, m: score_toxicity(d, m, spans=False), "quality": score_quality, "lang": lambda d, m: identify_language(d)}[label]
+    before = score(docs, labels).collect()
+    held = {r.doc_id for r in before if r.held_out}
+    if label == "lang":
+        docs = docs.withColumn("lang", F.when(F.col("doc_id").isin(*held), F.lit("xx")).otherwise(F.col("lang")))
+    else:
+        labels = labels.withColumn(label, F.when(F.col("doc_id").isin(*held), 1 - F.col(label)).otherwise(F.col(label)))
+    same([tuple(r)[:3] for r in before], [tuple(r)[:3] for r in score(docs, labels).collect()])
+
+
+def test_any_number_of_languages(spark):
+    from requisita.llm.language_id import fit_language_model
+
+    rows = [(i, chr(0x400 + i % 250) * 30, f"l{i % 250:03}") for i in range(1000)] + [(2000, "rare", "once")]
+    net = fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(net.languages) == 251 and net.out.shape[1] == 251
 
 
 def test_toxic_spans(spark):
@@ -362,7 +386,10 @@ def test_classifiers_learn_from_the_whole_sample(spark):
     docs = spark.range(3800).select(F.col("id").alias("doc_id"), text.alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"), (F.col("doc_id") % 2).alias("toxic"))
     texts, y, weight = labelled_sample(docs, labels, "toxic", 5, -1)
-    assert (len(texts), y.sum(), max(map(len, texts))) == (3800, 1900, 20_000) and (weight == 1).all()
+    assert (len(texts), y.sum(), max(map(len, texts))) == (3800, 1900, 45_012) and (weight == 1).all()
+    # a smaller sample has fewer texts, and whole ones
+    texts, _, _ = labelled_sample(docs, labels, "toxic", 5, -1, chars=1000)
+    assert 0 < len(texts) < 100 and all(t in ("zebra quagga",) or len(t) in (13, 14, 15, 16, 45_012) for t in texts)
     vectors, _ = fit_quality(docs, labels, 5, -1)
     data = b"zebra"
     bucket = tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0]
