@@ -25,13 +25,13 @@ def merge_resolutions(low: DataFrame, high: DataFrame, fields=FIELDS) -> DataFra
     return both.select("file_id", "codigo", "v.*")
 
 
-def header_fallback(low: DataFrame, high: DataFrame, number_fields: list[str]) -> DataFrame:
+def header_fallback(low: DataFrame, high: DataFrame, number_fields: list[str], read: str = "no_doc") -> DataFrame:
     """The lower resolution's header; all of the other's where it has none, and
-    the other's document number fields where it read no number."""
+    the other's document number fields where it has no number in ``read``."""
     rest = [c for c in low.columns if c != "file_id"]
     left, right = low.select("file_id", F.struct(*rest).alias("l")), high.select("file_id", F.struct(*rest).alias("r"))
     both = left.join(right, "file_id", "full_outer")
-    take_number = F.col("l").isNull() | (F.col("l.no_doc").isNull() & F.col("r.no_doc").isNotNull())
+    take_number = F.col("l").isNull() | (F.col(f"l.{read}").isNull() & F.col(f"r.{read}").isNotNull())
     pick = lambda c: F.when(take_number if c in number_fields else F.col("l").isNull(), F.col(f"r.{c}")).otherwise(F.col(f"l.{c}"))
     return both.select("file_id", *[pick(c).alias(c) for c in rest])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import accept_local_cell, needs_refinement, pick_best_quantity, receipt_quantity, resolve_doc_number, agreement
-from ..operators import codes, extraction, forms, tokens
+from ..operators import codes, documents, extraction, forms, tokens
 from ..sources import adapters
 from ..sources.adapters import table
 from .sql import block, sql
@@ -162,6 +162,22 @@ def extract_items(spark, d):
     return forms.page_items(t, master(spark, d)).select("file_id", "codigo", "idem", "nombre_producto", "presentacion", "cant_solicitada", "cant_despachada", "box_y1", "box_y2", "verified")
 
 
+block("form_file", """SELECT file_id, o, CAST(4930000000 + o * 100 AS VARCHAR) AS doc, CASE o % 3 WHEN 0 THEN doc WHEN 1 THEN doc[5:10] END AS name, coalesce(name, 'scan') || '_' || file_id || '.pdf' AS archivo, sha256(CAST(file_id AS VARCHAR)) AS archivo_hash FROM form""", "form")
+_ITEM = "SELECT file_id, CAST(code AS VARCHAR) AS codigo, CAST(spot + 1 AS VARCHAR) AS idem, translate(name, ' ', '_') AS nombre_producto, CAST(CAST(qty + 1 AS BIGINT) AS VARCHAR) AS cant_solicitada, {0} AS cant_despachada FROM form_line WHERE (seq % {1} <> 0 OR spot = 0) QUALIFY row_number() OVER (PARTITION BY file_id, code ORDER BY spot DESC) = 1"
+block("at_low", _ITEM.format("CASE WHEN seq % 6 = 5 THEN '' ELSE CAST(CAST(qty AS BIGINT) AS VARCHAR) END", 11), "form_line")
+block("at_high", _ITEM.format("CAST(CAST(qty AS BIGINT) AS VARCHAR)", 13), "form_line")
+_BEST = "CASE WHEN coalesce(l.{0}, '') = '' THEN h.{0} WHEN h.{0} IS NULL OR length(l.{0}) <= length(h.{0}) THEN l.{0} ELSE h.{0} END AS {0}"
+block("on_forms", f"SELECT file_id, codigo, coalesce(l.idem, h.idem) AS idem, coalesce(l.nombre_producto, h.nombre_producto) AS nombre_producto, {_BEST.format('cant_solicitada')}, {_BEST.format('cant_despachada')} FROM at_low l FULL JOIN at_high h USING (file_id, codigo)", "at_low", "at_high")
+
+
+@query(sql("""SELECT archivo, archivo_hash, doc AS no_doc, doc AS no_doc_ocr_local, name AS no_doc_archivo, CASE o % 3 WHEN 0 THEN 'OCR local + nombre archivo' WHEN 1 THEN 'OCR local (número completo)' ELSE 'OCR local' END AS no_doc_fuente, name = doc AS no_doc_coincide_archivo,
+'201' AS mov, CAST(1 + o % 12 AS VARCHAR) AS mes, 'Ana Paz' AS solicito, codigo, idem, nombre_producto, cant_solicitada, coalesce(cant_despachada, CASE WHEN codigo IS NOT NULL THEN '' END) AS cant_despachada, CAST(NULL AS VARCHAR) AS error FROM form_file LEFT JOIN on_forms USING (file_id)""", "form_file", "on_forms"))
+def process_forms(spark, d):
+    files = adapters.form_files(spark, d)
+    done = documents.process_documents(files, adapters.form_readings(spark, d), master(spark, d))
+    return done.select("archivo", "archivo_hash", "no_doc", "no_doc_ocr_local", "no_doc_archivo", "no_doc_fuente", "no_doc_coincide_archivo", "mov", "mes", "solicito", "codigo", "idem", "nombre_producto", "cant_solicitada", "cant_despachada", "error")
+
+
 @query("""SELECT p_partkey AS file_id, '' AS idem, 'Papel bond' AS nombre_producto, '' AS presentacion, CAST(910000000 + p_partkey AS VARCHAR) AS codigo, q AS cant_solicitada, q AS cant_despachada, 340 AS box_y1, 360 AS box_y2, true AS verified
 FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN (p_partkey % 900 + 1) || '500' WHEN 1 THEN CAST(p_partkey % 50 + 1 AS VARCHAR) ELSE CAST(p_partkey % 70 + 1 AS VARCHAR) END AS q FROM part)""")
 def warehouse_receipt(spark, d):

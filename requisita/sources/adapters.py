@@ -142,8 +142,9 @@ def form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).withColumn("file_id", F.col("o") * 100 + F.floor((F.col("rn") - 1) / 20)).withColumn("at", F.pmod(F.col("rn") - 1, F.lit(20)))
 
 
-def form_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forms 1000 wide and 1500 high as a reader would return them."""
+def form_tokens(spark: SparkSession, sf_dir: str, seen: Column | None = None, blurred: Column | None = None) -> DataFrame:
+    """Forms 1000 wide and 1500 high as a reader would return them: the lines that
+    it has seen, with blurred quantities."""
     line = form_lines(spark, sf_dir)
     o, at = F.col("o"), F.col("at")
     page = line.groupBy("file_id", "o").agg(F.count(F.lit(1)).alias("n"))
@@ -157,8 +158,26 @@ def form_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("code").cast("string")
     read = F.when(F.col("seq") % 5 == 0, F.overlay(code, F.lit("0"), F.lit(1), F.lit(1))).otherwise(code)
     number = lambda v, x, conf=90: _token(v.cast("bigint").cast("string"), x, y, 16 * F.length(v.cast("bigint").cast("string")), conf)
-    items = [_token(at + 1, 40, y, 20), _token(read, 120, y, 80), _token(F.translate("name", " ", "_"), 300, y, 100), _token("UN", 600, y, 40), number(F.col("qty") + 1, 750), number(F.col("qty"), 870, F.when(F.col("seq") % 6 == 5, 40).otherwise(90))]
-    return _placed(page, frame, F.lit(0)).unionByName(_placed(line, items, 1000 + at * 10))
+    items = [_token(at + 1, 40, y, 20), _token(read, 120, y, 80), _token(F.translate("name", " ", "_"), 300, y, 100), _token("UN", 600, y, 40), number(F.col("qty") + 1, 750), number(F.col("qty"), 870, F.when(F.col("seq") % 6 == 5 if blurred is None else blurred, 40).otherwise(90))]
+    return _placed(page, frame, F.lit(0)).unionByName(_placed(line if seen is None else line.where(seen), items, 1000 + at * 10))
+
+
+def form_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, archivo, archivo_hash of the forms: names with the whole number,
+    its end, or none."""
+    pages = form_lines(spark, sf_dir).select("file_id", "o").distinct()
+    kind, page = F.col("o") % 3, F.col("file_id").cast("string")
+    name = F.when(kind == 0, _doc(F.col("o"))).when(kind == 1, F.substring(_doc(F.col("o")), 5, 6)).otherwise(F.lit("scan"))
+    return pages.select("file_id", F.concat(name, F.lit("_"), page, F.lit(".pdf")).alias("archivo"), F.sha2(page, 256).alias("archivo_hash"))
+
+
+def form_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the forms at two resolutions, each of which misses lines (but
+    never the first)."""
+    seq, first = F.col("seq"), F.col("at") == 0
+    low = form_tokens(spark, sf_dir, first | (seq % 11 != 0)).withColumn("dpi", F.lit(300))
+    high = form_tokens(spark, sf_dir, first | (seq % 13 != 0), F.lit(False)).withColumn("dpi", F.lit(400))
+    return low.unionByName(high).join(form_files(spark, sf_dir).select("file_id", "archivo"), "file_id").drop("file_id")
 
 
 def receipt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
