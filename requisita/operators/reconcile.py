@@ -101,11 +101,12 @@ def full_outer_diff(ledger: DataFrame, scan: DataFrame) -> DataFrame:
     return joined.withColumn("estado", state).select(*lead, *pairs, *rest)
 
 
-def sides(ledger: DataFrame, scan: DataFrame, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
+def sides(ledger: DataFrame, scan: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """Both sides ready for aggregation: copies gone, numbers and codes corrected.
 
     What several later steps read is written once: both sides clean, and the
-    scan under its corrected numbers."""
+    scan under its corrected numbers.  Without ``fuzzy``, codes are corrected by
+    one edit only, not by similar codes or descriptions."""
     listed = keep(prepare_ledger(ledger), "ledger")
     copies = keep(best_copy(physical_dedup(with_keys(scan))), "copies")
     numbered = keep(renumber(listed, copies)[0], "numbered")
@@ -113,7 +114,7 @@ def sides(ledger: DataFrame, scan: DataFrame, fuzzy: bool = False) -> tuple[Data
     return listed, repair_codes(listed, not_zero(numbered), fuzzy)
 
 
-def compare(ledger: DataFrame, scan: DataFrame, fuzzy: bool = False) -> DataFrame:
+def compare(ledger: DataFrame, scan: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Each (document, code) of either side with its state."""
     listed, seen = sides(ledger, scan, fuzzy)
     return full_outer_diff(aggregate_by_key(listed), aggregate_by_key(seen))

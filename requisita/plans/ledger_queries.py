@@ -35,7 +35,11 @@ def copies(spark, d):
 
 
 def merged(spark, d):
-    return reconcile.compare(ledger(spark, d), scan(spark, d))
+    """The comparison with codes corrected by one edit only, which SQL can follow."""
+    return reconcile.compare(ledger(spark, d), scan(spark, d), fuzzy=False)
+
+
+MERGED = ("estado", "no_doc", "codigo", "cant_despachada_ext", "cant_despachada_esc", "nombre_producto_ext", "nombre_producto_esc", "presentacion_ext", "presentacion_esc", "fecha", "archivo")
 
 
 @query(sql("SELECT CAST(4930000000 + o * 100 AS VARCHAR) AS no_doc, CAST(code AS VARCHAR) AS codigo, name AS nombre_producto, type AS presentacion, day AS fecha, abs(-qty) AS cant_despachada, seq AS row_seq FROM line", "line"))
@@ -102,12 +106,12 @@ def one_edit(spark, d):
 
 @query(sql("SELECT no_doc, codigo, q, row_seq FROM scan3", "scan3"))
 def code_repair_exact(spark, d):
-    return reconcile.sides(ledger(spark, d), scan(spark, d))[1].select("no_doc", "codigo", "q", "row_seq")
+    return reconcile.sides(ledger(spark, d), scan(spark, d), fuzzy=False)[1].select("no_doc", "codigo", "q", "row_seq")
 
 
 @query()
 def code_repair_fuzzy(spark, d):
-    return reconcile.sides(ledger(spark, d), scan(spark, d), fuzzy=True)[1].select("no_doc", "codigo", "q", "row_seq")
+    return reconcile.sides(ledger(spark, d), scan(spark, d))[1].select("no_doc", "codigo", "q", "row_seq")
 
 
 _NORMAL = "array_to_string(regexp_extract_all(upper(translate(replace(coalesce({0}, ''), 'ß', 'SS'), 'ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑáàâäãåéèêëíìîïóòôöõúùûüçñ', 'AAAAAAEEEEIIIIOOOOOUUUUCNaaaaaaeeeeiiiiooooouuuucn')), '([A-Z0-9]+)', 1), ' ')"
@@ -140,7 +144,10 @@ def semi_join_ledger(spark, d):
     return reconcile.of_scanned_documents(listed, seen).select("no_doc", "codigo", "row_seq")
 
 
-@query(sql("SELECT no_doc, codigo, row_seq FROM scan1 WHERE archivo NOT IN (SELECT archivo FROM scan1 WHERE archivo LIKE 'copia%')", "scan1"))
+block("replaced", "SELECT DISTINCT archivo FROM scan1 WHERE archivo LIKE 'copia%'", "scan1")
+
+
+@query(sql("SELECT no_doc, codigo, row_seq FROM scan1 ANTI JOIN replaced USING (archivo)", "scan1", "replaced"))
 def anti_join_replaced(spark, d):
     seen = prepared(spark, d)[1]
     replaced = seen.where(F.startswith("archivo", F.lit("copia"))).select("archivo").distinct()
@@ -160,12 +167,17 @@ def full_outer_diff(spark, d):
 
 
 @query(sql("SELECT * FROM merged", "merged"))
+def reconcile_exact(spark, d):
+    return merged(spark, d).select(*MERGED)
+
+
+@query()
 def reconcile_all(spark, d):
-    return merged(spark, d).select("estado", "no_doc", "codigo", "cant_despachada_ext", "cant_despachada_esc", "nombre_producto_ext", "nombre_producto_esc", "presentacion_ext", "presentacion_esc", "fecha", "archivo")
+    """As ``reconcile_exact``, with codes corrected by similarity too."""
+    return reconcile.compare(ledger(spark, d), scan(spark, d)).select(*MERGED)
 
 
 QUERIES["reconcile"] = QUERIES.pop("reconcile_all")
-ORACLE_SQL["reconcile"] = ORACLE_SQL.pop("reconcile_all")
 
 
 @query(sql("SELECT * FROM summary", "summary"))

@@ -113,3 +113,73 @@ def test_export_names(spark):
 def test_order_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "zz int, codigo int, archivo int")
     assert report.order_columns(df).columns == ["archivo", "codigo", "zz"]
+
+
+def plain_repair(ledger, scan):
+    """Codes corrected row by row; rows are (no_doc, codigo, q, name), and those of
+    the scan have their place before."""
+    from difflib import SequenceMatcher
+
+    def words(t):
+        return " ".join("".join(c if c.isalnum() else " " for c in t.upper()).split())
+
+    def one_edit(a, b):
+        return a != b and (any(a[:i] + b[i : i + 1] + a[i + 1 :] == b for i in range(len(a))) or any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))))
+
+    def alike(a, b):
+        return SequenceMatcher(None, a, b).ratio()
+
+    def product(a, b):
+        a, b = words(a), words(b)
+        if not a or not b:
+            return 0.0
+        x, y = set(a.split()), set(b.split())
+        return max(alike(a, b), len(x & y) / max(1, min(len(x), len(y))))
+
+    listed, chosen = {(d, c) for d, c, _, _ in ledger}, {}
+    for seq, doc, code, q, name in scan:
+        if q <= 0 or (doc, code) in listed:
+            continue
+        found = []
+        for d, c, n, other in ledger:
+            if d == doc and abs(n - q) <= 1e-6:
+                score = 0.70 * product(name, other) + 0.30 * alike(code, c)
+                strong = one_edit(code, c) or alike(code, c) >= 0.84
+                if strong or (product(name, other) >= 0.55 and score >= 0.60):
+                    found.append((not strong, -score, c))
+        found.sort()
+        if found and (len(found) == 1 or (found[1][0] if not found[0][0] else found[1][1] - found[0][1] >= 0.12)):
+            chosen[seq] = found[0][2]
+    out, taken = [], set()
+    for seq, doc, code, q, _ in scan:
+        new = chosen.get(seq)
+        if new is not None:
+            if any(d == doc and c == new and abs(n - q) <= 1e-6 for _, d, c, n, _ in scan) or (doc, new, q) in taken:
+                continue
+            taken.add((doc, new, q))
+        out.append((seq, doc, new or code))
+    return out
+
+
+def test_fuzzy_repair_by_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    names = ["PAPEL BOND CARTA", "papel bond oficio", "Tinta negra", "", "GUANTES LATEX M", "guantes de látex"]
+    ledger, scan = [], []
+    for doc in range(40):
+        for _ in range(4):
+            code, q, name = str(910000000 + r.randrange(10**6)), float(r.randrange(1, 4)), r.choice(names)
+            ledger.append((f"d{doc}", code, q, name))
+            digits = list(code)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                digits[r.randrange(9)] = str(r.randrange(10))
+            scan.append((len(scan), f"d{doc}", "".join(digits), q, name.upper() if r.random() < 0.7 else r.choice(names)))
+            if r.random() < 0.2:  # a second reading of the line
+                scan.append((len(scan), f"d{doc}", code, q, name))
+    left = spark.createDataFrame(ledger, "no_doc string, codigo string, q double, nombre_producto string")
+    right = spark.createDataFrame(scan, "row_seq long, no_doc string, codigo string, q double, nombre_producto string")
+    found = {(x.row_seq, x.no_doc, x.codigo) for x in repair_codes(left, right, fuzzy=True).collect()}
+    want = set(plain_repair(ledger, scan))
+    assert found == want and len(want - {(s, d, c) for s, d, c, _, _ in scan}) > 20
+    assert found != {(x.row_seq, x.no_doc, x.codigo) for x in repair_codes(left, right).collect()}
