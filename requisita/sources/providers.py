@@ -38,7 +38,11 @@ def recognise_files(files: DataFrame, recognise: Callable[[bytes, int], list[dic
                     rows = [own | {"error": str(e) or type(e).__name__}]
                 yield pa.RecordBatch.from_pylist([{name: r.get(name) for name, _ in columns} for r in rows], schema=pa.schema(columns))
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_A_BATCH))
+    # only ever lowered, so that no plan gets larger batches than it asked for
+    conf, key = files.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(conf.get(key, "10000"))
+    if have <= 0 or have > FILES_A_BATCH:
+        conf.set(key, str(FILES_A_BATCH))
     each = files.select("archivo", "content", F.explode(F.array(*map(F.lit, dpis))).alias("dpi"))
     return each.mapInArrow(run, TOKENS)
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or, where that is unset, a temporary folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``.  Where that is unset, a temporary folder on a
+    single machine; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = getattr(spark, "_requisita_scratch", None) or tempfile.mkdtemp(prefix="requisita-")
         spark._requisita_scratch = found
     return found.rstrip("/")
