@@ -228,23 +228,30 @@ def token_labels(rows: np.ndarray, first: np.ndarray, y: np.ndarray, bits: int =
     and then, one by one, the suspect that explains most toxic texts not
     explained yet, while it explains ``least``."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    cuts = [*range(0, len(y), 100), len(y)]  # some texts at a time bound the sort
-    # a short token stands for its prefixes too, and counts once
-    once = np.ones(rows.shape, bool)
-    once[:, 1:] = rows[:, 1:] != rows[:, :1]
-    found = [np.unique((text[p:q, None] * (1 << bits) + rows[p:q])[once[p:q]], return_counts=True) for p, q in ((first[a], first[b]) for a, b in zip(cuts[:-1], cuts[1:]))]
-    pairs, held = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    of, feature = pairs >> bits, pairs & ((1 << bits) - 1)
+
+    def held():
+        """Text, feature and how often the text holds it; some texts at a time."""
+        cuts = [*range(0, len(y), 100), len(y)]
+        for p, q in ((first[a], first[b]) for a, b in zip(cuts[:-1], cuts[1:])):
+            # a short token stands for its prefixes too, and counts once
+            once = np.ones((q - p, rows.shape[1]), bool)
+            once[:, 1:] = rows[p:q, 1:] != rows[p:q, :1]
+            pairs, n = np.unique((text[p:q, None] * (1 << bits) + rows[p:q])[once], return_counts=True)
+            yield pairs >> bits, pairs & ((1 << bits) - 1), n
+
+    counts = np.zeros((2, times + 1, 1 << bits))
+    for of, feature, n in held():
+        for m in range(1, times + 1):
+            for label in (0, 1):
+                counts[label, m] += np.bincount(feature[(n >= m) & (y[of] == label)], minlength=1 << bits)
     level, strong = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
-    for n in range(times, 0, -1):
-        on = held >= n
-        toxic = np.bincount(feature[on], weights=y[of[on]], minlength=1 << bits)
-        clean = np.bincount(feature[on], weights=1 - y[of[on]], minlength=1 << bits)
+    for m in range(times, 0, -1):
+        clean, toxic = counts[:, m]
         suspect = (toxic >= least) & (clean <= share * toxic)
-        level[suspect], strong[suspect] = n, toxic[suspect]
+        level[suspect], strong[suspect] = m, toxic[suspect]
+    kept = [(of[on], feature[on]) for of, feature, n in held() for on in [(level[feature] > 0) & (n >= level[feature]) & (y[of] > 0)]]
+    of, feature = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
     bad = strong >= max(least, common * y.sum())
-    on = (level[feature] > 0) & (held >= level[feature]) & (y[of] > 0)
-    of, feature = of[on], feature[on]
     explained = np.zeros(len(y), bool)
     explained[of[bad[feature]]] = True
     while True:
