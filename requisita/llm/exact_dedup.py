@@ -41,6 +41,8 @@ HOT = 100_000
 SALTS = 64
 #: A directory of so many slots at most (24 bytes each) is broadcast.
 BROADCAST_SLOTS = 1 << 16
+#: Owner tasks at most, where the directory asks for more than the session has.
+OWNERS = 1 << 16
 
 
 def leading(h: Column, depth) -> Column:
@@ -83,8 +85,10 @@ def build_index(docs: DataFrame, work: Workspace, capacity: int = CAPACITY) -> t
     salted = texts.join(hot, "hash", "left_semi").groupBy("hash", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     folded = salted.agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("hash", "text", "doc_id", "n", F.lit(True).alias("hot"))
     dealt = cold.unionByName(folded).withColumn("slot", leading(F.col("hash"), depth))
-    owned = dealt.repartition("slot")
-    small = slots.count() <= BROADCAST_SLOTS
+    n = slots.count()
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(OWNERS, n // 2))
+    owned = dealt.repartition(owners, "slot")
+    small = n <= BROADCAST_SLOTS
     placed = owned.join(F.broadcast(slots) if small else slots, "slot")
     # the chain of a hash: its texts in the order of their bytes, equal ones in one place
     same = W.partitionBy("slot", "hash", "text")
