@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ITEM_CODE, digits, is_position_tag, looks_like_doc_number, receipt_quantity
-from ..sources.scratch import keep
+from ..sources.scratch import drop, is_kept, keep
 from .codes import clean_codes
 from .dedup import first_of
 from .tokens import PAGE, anchors, column_of, group_rows, line_below, line_right, page_extent, split_rows, value_below, value_right
@@ -139,7 +139,7 @@ def item_rows(region: DataFrame) -> DataFrame:
 
 def extract_items(tokens: DataFrame, layouts: DataFrame, master: DataFrame) -> DataFrame:
     """One row for each code of a page (the last reading of it)."""
-    rows = keep(item_rows(item_region(tokens, layouts)), "rows")
+    rows = item_rows(item_region(tokens, layouts))
     of = lambda c: F.filter("toks", lambda t: t["col"] == c)
     text = lambda c: F.array_join(F.transform(of(c), lambda t: t["text"]), " ")
 
@@ -147,15 +147,18 @@ def extract_items(tokens: DataFrame, layouts: DataFrame, master: DataFrame) -> D
         own = F.get(F.filter("layout", lambda s: s["col"] == c), F.lit(0))
         return (own["lo"] + own["hi"]) / 2 * F.col("page_w")
 
-    key = [PAGE, "row", "part"]
-    code = clean_codes(rows.withColumn("raw", text("codigo")), key, "raw", master).where("codigo is not null")
-    rows = rows.join(code, key)
+    place = ["row", "part", "y1", "y2"]
+    marks = F.transform(F.filter(of("codigo"), lambda t: t["text"].rlike(ITEM_CODE)), lambda t: F.struct(digits(t["text"]).alias("digits"), t["cy"].alias("cy"), t["y"].alias("y"), t["y2"].alias("y2")))
+    # what the code doesn't decide is made before codes are looked up: rows without their tokens
+    slim = rows.select(PAGE, *place, *[text(c).alias(c) for c in ("idem", "nombre_producto", "presentacion")], *[pick_number(of(c), centre(c)).alias(c) for c in QUANTITIES], marks.alias("marks"), text("codigo").alias("raw"))
+    slim = keep(slim.where(F.col("raw").rlike("[0-9]")), "rows")
+    rows = clean_codes(slim, [c for c in slim.columns if c != "raw"], "raw", master).where("codigo is not null")
     # a row that runs over several lines is cut to the height around its code
-    real = F.get(F.filter(of("codigo"), lambda t: t["text"].rlike(ITEM_CODE) & (digits(t["text"]) == F.col("codigo"))), F.lit(0))
+    real = F.get(F.filter("marks", lambda m: m["digits"] == F.col("codigo")), F.lit(0))
     half = F.greatest(F.lit(20), F.floor((real["y2"] - real["y"]) * 0.9))
     tall = (F.col("y2") - F.col("y1") > 80) & real.isNotNull()
     items = rows.select(
-        *key, *[text(c).alias(c) for c in ("idem", "nombre_producto", "presentacion")], "codigo", *[pick_number(of(c), centre(c)).alias(c) for c in QUANTITIES],
+        PAGE, "row", "part", "idem", "nombre_producto", "presentacion", "codigo", *QUANTITIES,
         F.when(tall, (real["cy"] - half).cast("int")).otherwise(F.col("y1").cast("int")).alias("box_y1"), F.when(tall, (real["cy"] + half).cast("int")).otherwise(F.col("y2").cast("int")).alias("box_y2"), "verified",
     )
     return first_of(items, [PAGE, "codigo"], F.desc("row"), F.desc("part")).drop("row", "part")
@@ -191,7 +194,12 @@ def warehouse_receipt(tokens: DataFrame, master: DataFrame, master_is_empty: boo
 def page_items(tokens: DataFrame, master: DataFrame) -> DataFrame:
     """Items of every page; a page that is a goods receipt is read as one.  The
     tokens, which many steps read, are written once."""
+    own = not is_kept(tokens)
     tokens = keep(tokens, "tokens")
     receipts = keep(warehouse_receipt(tokens, master), "receipts")
-    forms = keep(tokens.join(receipts.select(PAGE).distinct(), PAGE, "left_anti"), "forms")
+    forms = tokens
+    if not receipts.isEmpty():
+        forms = keep(tokens.join(receipts.select(PAGE).distinct(), PAGE, "left_anti"), "forms")
+        if own:
+            drop(tokens)
     return extract_items(forms, detect_columns(forms), master).unionByName(receipts)

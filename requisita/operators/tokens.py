@@ -44,7 +44,11 @@ def anchors(tokens: DataFrame, fields: dict[str, list[str]], within: Column | No
     if within is not None:
         tokens = tokens.where(within)
     marks = F.array(*[F.when(has_all(words), F.lit(name)) for name, words in fields.items()])
-    marked = tokens.select(PAGE, *ANCHOR, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("field"))
+    any_mark = F.lit(False)
+    for words in fields.values():
+        any_mark = any_mark | has_all(words)
+    # by the text alone, so this goes below a join that ``within`` needs
+    marked = tokens.where(any_mark).select(PAGE, *ANCHOR, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("field"))
     return marked.groupBy(PAGE, "field").agg(F.min_by(F.struct(*ANCHOR), "tok_seq").alias("a")).select(PAGE, "field", *[F.col(f"a.{c}").alias(f"a_{c}") for c in ANCHOR])
 
 

@@ -1,9 +1,14 @@
 """From words to scan rows, with readings of strips, cells and an outside model."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
-from requisita.operators import documents, extraction
+from requisita.operators import documents, extraction, forms
+from requisita.plans import token_queries
+from requisita.sources import adapters
+from requisita.sources.scratch import keep, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -112,3 +117,18 @@ def test_a_folder_is_extracted(spark, tmp_path, master):
     assert (a.no_doc, a.mov, a.codigo, a.cant_solicitada, a.cant_despachada, a.no_doc_fuente) == ("4930000001", "201", "910000001", "5", "4", "OCR local + nombre archivo")
     assert (rows["b.png"].no_doc, rows["b.png"].codigo, rows["b.png"].error) == ("4930000001", None, None)
     assert rows["c.pdf"].error == rows["d.pdf"].error == documents.NOTHING_READ
+
+
+def test_words_are_written_once(spark):
+    """Kept words are not copied; receipts among them are told apart."""
+    sf = "/root/testdata/sf0.001"
+    listed = token_queries.master(spark, sf)
+    pages = adapters.form_tokens(spark, sf).where("file_id < 1000")
+    receipt = adapters.receipt_tokens(spark, sf).where("file_id = 1").withColumn("file_id", F.col("file_id") + 10**9)
+    words, before = keep(pages, "words"), set(glob.glob(f"{shared_folder(spark)}/*"))
+    items = {tuple(r) for r in forms.page_items(words, listed).collect()}
+    written = {p.rsplit("/", 1)[1].split("-")[0] for p in set(glob.glob(f"{shared_folder(spark)}/*")) - before}
+    assert written == {"receipts", "rows"}
+    both = {tuple(r) for r in forms.page_items(words.unionByName(receipt), listed).collect()}
+    assert items and {r for r in both if r[0] < 10**9} == items
+    assert [r[4] for r in both - items] == ["910000001"]
