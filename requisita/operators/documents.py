@@ -15,7 +15,8 @@ from ..functions.scalars import accept_local_cell, agreement, filename_doc, need
 from ..sources.scratch import keep
 from .dedup import first_of
 from .extraction import clean_cell, consensus, exact_digits, header_fallback, parse_replies, upsert
-from .forms import document_number, extract_header, extract_signatures, page_items
+from .forms import HEADER_FIELDS, ROWS, SIGNATURE_FIELDS, found_items, header, may_be_receipt, number, read_items, schema_of, signatures
+from .pages import Pages, on_pages
 from .report import order_columns
 
 LOW, HIGH = 300, 400
@@ -36,11 +37,21 @@ def commonest_number(strips: DataFrame) -> DataFrame:
     return counted.groupBy(*PAGE).agg(F.min_by("no_doc", F.struct(-F.col("n"), F.col("no_doc"))).alias("no_doc"))
 
 
+def read_page(p: Pages) -> dict[str, list]:
+    return header(p) | signatures(p) | {"printed": number(p), "rows": read_items(p)}
+
+
 def read_pages(tokens: DataFrame, master: DataFrame, strips: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Headers and items of each page (archivo, dpi).  tokens: archivo, dpi and
-    the columns of a word."""
-    pages = keep(tokens.withColumn("file_id", F.struct(*PAGE)).drop(*PAGE), "pages")
-    base = extract_header(pages).join(extract_signatures(pages), "file_id").join(document_number(pages).withColumnRenamed("no_doc", "printed"), "file_id").select("file_id.*", "*").drop("file_id")
+    the columns of a word, or ``words``, the array of a page's."""
+    pages = tokens.withColumn("file_id", F.struct(*PAGE)).drop(*PAGE)
+    if "words" in pages.columns:
+        pages = pages.withColumn("words", F.filter("words", lambda w: w["text"].isNotNull()))
+    else:
+        pages = pages.where("text is not null")
+    # each page is read once; what follows needs its words no more
+    read = keep(on_pages(pages, read_page, f"{schema_of([*HEADER_FIELDS, *SIGNATURE_FIELDS, 'printed'])}, {ROWS}", may_be_receipt), "pages")
+    base = read.drop("rows", "receipt").select("file_id.*", "*").drop("file_id")
     if strips is None:
         base = base.withColumn("no_doc_ocr_local", F.col("printed"))
     else:
@@ -48,7 +59,7 @@ def read_pages(tokens: DataFrame, master: DataFrame, strips: DataFrame | None =
     named = base.withColumn("no_doc_archivo", filename_doc(F.col("archivo")))
     solved = named.withColumn("_r", resolve_doc_number(F.col("no_doc_archivo"), F.col("no_doc_ocr_local"), F.lit(None).cast("string")))
     done = solved.withColumns({"no_doc": F.col("_r.no_doc"), "no_doc_fuente": F.col("_r.source")}).withColumn("no_doc_coincide_archivo", agreement(F.col("no_doc"), F.col("no_doc_archivo")))
-    return keep(done.drop("printed", "_r"), "headers"), keep(page_items(pages, master).select("file_id.*", "*").drop("file_id"), "items")
+    return keep(done.drop("printed", "_r"), "headers"), keep(found_items(read, master).select("file_id.*", "*").drop("file_id"), "items")
 
 
 def one_header(headers: DataFrame) -> DataFrame:
@@ -142,12 +153,11 @@ def process_documents(
 ) -> DataFrame:
     """Scan rows of files (archivo, archivo_hash): the header of each file with
     each of its items, the header alone if it has none, and an error where no
-    word was read."""
-    words = tokens.where("text is not null")
-    headers, items = read_pages(words, master, strips)
-    header = one_header(headers)
+    word was read.  tokens: a row for each word or, with ``words``, each page."""
+    headers, items = read_pages(tokens, master, strips)
+    top = one_header(headers)
     if numbers is not None:
-        header = with_model_number(header, numbers)
+        top = with_model_number(top, numbers)
     if codes is not None:
         items = keep(rekey_items(items, codes, master), "rekeyed")
     rows = merge_pages(items)
@@ -157,7 +167,7 @@ def process_documents(
         rows = with_table_replies(rows, items, tables, master, model_cells)
     rows = rows.select("archivo", "codigo", *TEXTS, *QUANTITIES)
     error = F.when(F.col("_read").isNull(), F.lit(NOTHING_READ)).alias("error")
-    whole = files.select("archivo", "archivo_hash").join(header.withColumn("_read", F.lit(True)), "archivo", "left").join(rows, "archivo", "left")
+    whole = files.select("archivo", "archivo_hash").join(top.withColumn("_read", F.lit(True)), "archivo", "left").join(rows, "archivo", "left")
     return order_columns(whole.select(*(c for c in whole.columns if c != "_read"), error))
 
 

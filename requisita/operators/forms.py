@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ITEM_CODE, digits, is_position_tag, looks_like_doc_number, receipt_quantity
-from ..sources.scratch import drop, is_kept, keep
+from ..functions.scalars import ITEM_CODE, digits, receipt_quantity
+from ..sources.scratch import keep
 from .codes import clean_codes
 from .dedup import first_of
-from .tokens import PAGE, anchors, column_of, group_rows, line_below, line_right, page_extent, split_rows, value_below, value_right
+from .pages import Pages, on_pages
+from .tokens import PAGE, ROW_GAP, page_extent
 
 #: Columns of a form without a readable heading, as shares of the width.
 DEFAULT_LAYOUT = (("idem", 0.0, 0.10), ("codigo", 0.10, 0.25), ("nombre_producto", 0.25, 0.60), ("presentacion", 0.60, 0.72), ("cant_solicitada", 0.72, 0.86), ("cant_despachada", 0.86, 1.0))
@@ -19,6 +23,8 @@ HEADER = {"mov": ["MOV"], "almacen": ["ALMACEN"], "depend_destinataria": ["DEPEN
 SIGNATURES = {"solicito": ["SOLICITO"], "autorizo": ["AUTORIZO"], "recibio": ["RECIBIO"], "preparado_por": ["PREPARADO"], "comprobado_por": ["COMPROBADO"]}
 QUANTITIES = ("cant_solicitada", "cant_despachada")
 MIN_DIGIT_CONFIDENCE, WIDEST_DIGIT = 55, 0.9
+#: Runs of digits, other signs, and codes, of words that are read in Python.
+RUNS, REST, CODE = re.compile("[0-9]+"), re.compile("[^0-9]"), re.compile(ITEM_CODE)
 LAYOUT_TYPE = "array<struct<col:string,lo:double,hi:double>>"
 
 
@@ -26,138 +32,195 @@ def default_layout() -> Column:
     return F.array(*[F.struct(F.lit(c).alias("col"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for c, lo, hi in DEFAULT_LAYOUT]).cast(LAYOUT_TYPE)
 
 
-def wide(values: DataFrame, fields) -> DataFrame:
-    """One row for each page, a column for each field."""
-    return values.groupBy(PAGE).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
+def schema_of(names) -> str:
+    return ", ".join(f"`{n}` string" for n in names)
+
+
+TOTALS = ("total_despachada", "total_no_despachada")
+HEADER_FIELDS = [f for f in (*HEADER, *TOTALS) if f != "ano"]
+SIGNATURE_FIELDS = [*SIGNATURES, "elaborado"]
+ROWS = "rows array<struct<row int, part int, y1 double, y2 double, idem string, nombre_producto string, presentacion string, cant_solicitada string, cant_despachada string, marks array<struct<digits string, cy double, y double, y2 double>>, raw string>>"
+
+
+def header(p: Pages) -> dict[str, list]:
+    """Eight fields from the top of each page."""
+    top, tags = p.cy <= p.h[p.page] * 0.15, p.tags()
+    holds = lambda words: np.logical_and.reduce([p.holds(w) for w in words])
+    found = {f: p.value_below(p.first(top & holds(words)), tags) for f, words in HEADER.items()}
+    one, two = np.full(p.n, -1), np.full(p.n, -1)
+    for page, heads in p.lines((p.cy < p.h[p.page] * 0.15) & p.holds("espach", p.low), p.cx):
+        one[page], two[page] = heads[0], heads[1] if len(heads) > 1 else -1
+    found |= {f: p.value_below(a, tags) for f, a in zip(TOTALS, (one, two), strict=True)}
+    found["año"] = [b if a is None else a for a, b in zip(found["año"], found.pop("ano"), strict=True)]
+    return found
+
+
+def signatures(p: Pages) -> dict[str, list]:
+    found = {f: p.line_below(p.first(np.logical_and.reduce([p.holds(w) for w in words]))) for f, words in SIGNATURES.items()}
+    return found | {"elaborado": p.line_right(p.first(p.holds("ELABORADO")))}
+
+
+def number(p: Pages) -> list[str | None]:
+    """Digits on the right of ``DOC.``, else of ``SAFIS``."""
+    plain = [[REST.sub("", t or "") for t in p.value_right(p.first(p.holds(mark)))] for mark in ("DOC.", "SAFIS")]
+    return [next((t for t in both if len(t) >= 6), None) for both in zip(*plain, strict=True)]
+
+
+def layouts(p: Pages) -> list[list[tuple[str, float, float]]]:
+    """Column bounds of each page, inferred from the heading of the items."""
+    named = {"product": p.holds("PRODUCTO"), "name": p.holds("NOMBRE"), "code": (p.holds("CODIGO") | p.holds("ÓDIGO")) & ~p.holds("CODIGOS"), "pack": p.holds("PRESEN"), "asked": p.holds("SOLICITAD"), "sent": p.holds("DESPACHAD"), "amount": p.holds("CANTIDAD")}
+    out = [DEFAULT_LAYOUT] * p.n
+    for page, words in p.lines(np.logical_or.reduce(list(named.values()))):
+        of = lambda mark, words=words: [i for i in words if named[mark][i]]
+        products, names = of("product"), of("name")
+        plain = [i for i in names if not named["product"][i]]
+        names = plain or [i for i in names if p.up[i].as_py().startswith("NOMBRE")]
+        names = [i for i in names if any(abs(p.cy[i] - p.cy[k]) < 40 for k in products)]
+        if not names:
+            continue
+        name = min(names, key=lambda i: (p.cy[i], p.seq[i]))
+        near = lambda mark: [p.cx[i] for i in of(mark) if abs(p.cy[i] - p.cy[name]) < 80]
+        code, pack, asked, sent = (next(iter(near(m)), None) for m in ("code", "pack", "asked", "sent"))
+        if code is None:
+            continue
+        amounts, w = near("amount"), p.w[page]
+        asked = min(amounts, default=None) if asked is None else asked
+        sent = sent if sent is not None else max(amounts) if len(amounts) >= 2 else None if asked is None else asked + (w - asked) * 0.5
+        centres = (("codigo", code), ("nombre_producto", p.cx[name]), ("presentacion", pack), ("cant_solicitada", asked), ("cant_despachada", sent))
+        s = sorted((float(c / w), n, k) for n, (k, c) in enumerate(centres) if c is not None)
+        edge = max(0.02, s[0][0] - 0.05)
+        bounds = [("idem", 0.0, edge)]
+        for i, (at, _, k) in enumerate(s):
+            lo = edge if i == 0 else (s[i - 1][0] + at) / 2
+            hi = (at + s[i + 1][0]) / 2 if i + 1 < len(s) else 1.0
+            bounds.append((k, lo, min(hi, lo + (hi - lo) * 0.75) if k == "cant_despachada" else hi))
+        out[page] = bounds
+    return out
+
+
+def pick_number(bucket: list[tuple], centre: float | None) -> str:
+    """Digits nearest to a column's centre, of words (text, conf, x, y, x2, y2,
+    cx) that are clear and not a cross read as a digit; '' if there are none."""
+    best, least = "", None
+    for text, conf, x, y, x2, y2, cx in bucket:
+        if not conf >= MIN_DIGIT_CONFIDENCE:
+            continue
+        wide_one = y2 > y and (x2 - x) / (y2 - y) > WIDEST_DIGIT
+        away = 0 if centre is None else abs(cx - centre)
+        for run in RUNS.findall(text):
+            if not (len(run) == 1 and wide_one) and (least is None or away < least):
+                best, least = run, away
+    return best
+
+
+def region(p: Pages, columns: list) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the item tables by page and height, and whether a word is a code."""
+    code = [next(((lo, hi) for c, lo, hi in page if c == "codigo"), (0.06, 0.25)) for page in columns]
+    lo, hi = np.array([c[0] for c in code]), np.array([c[1] for c in code])
+    doc = p.first(p.holds("DOC.") & (p.cy >= p.h[p.page] * 0.5) & (p.cy <= p.h[p.page]))
+    end = np.where(doc >= 0, p.y[doc] - 10, p.h * 0.85)[p.page]
+    head = p.most(p.cy, p.tags(), np.nan)
+    head = np.where(np.isnan(head), p.h * 0.05, head)[p.page]
+    place = p.cx / p.w[p.page]
+    is_code = p.matches(ITEM_CODE) & (lo[p.page] <= place) & (place < hi[p.page] + 0.03)
+    start = -p.most(25 - p.cy, is_code & (p.cy > head + 30) & (p.cy < end), -np.inf)[p.page]
+    at = np.flatnonzero((p.cy >= start) & (p.cy <= end))
+    return at[np.lexsort((at, p.cy[at], p.page[at]))], is_code
+
+
+def split_rows(p: Pages, at: np.ndarray, is_code: np.ndarray, gap: int = ROW_GAP) -> tuple[np.ndarray, np.ndarray]:
+    """For words in order of height: the number of the text row, a new one at each
+    gap, and of its part; a row with several codes is cut half-way between them."""
+    row = np.cumsum(np.r_[True, (np.diff(p.page[at]) != 0) | (np.diff(p.cy[at]) >= gap)][: len(at)])
+    part, codes = np.zeros(len(at), int), np.bincount(row[is_code[at]], minlength=int(row[-1]) + 1 if len(row) else 1)
+    for r in np.flatnonzero(codes > 1):
+        own = slice(*np.searchsorted(row, (r, r + 1)))
+        heights = p.cy[at[own]]
+        middles = heights[is_code[at[own]]]
+        part[own] = np.searchsorted((middles[:-1] + middles[1:]) / 2, heights, side="right")
+    return row, part
+
+
+def read_items(p: Pages, columns: list | None = None) -> list[list[dict]]:
+    """The text rows of each page, before the footer, that may hold a code: what
+    stands in each column, and the box."""
+    columns = layouts(p) if columns is None else columns
+    at, is_code = region(p, columns)
+    row, part = split_rows(p, at, is_code)
+    place, col = p.cx[at] / p.w[p.page[at]], np.full(len(at), -1)
+    for k in range(max(map(len, columns), default=0)):
+        lo, hi = (np.array([c[k][e] if k < len(c) else np.nan for c in columns])[p.page[at]] for e in (1, 2))
+        col = np.where((col < 0) & (lo <= place) & (place < hi), k, col)
+    order = np.lexsort((at, p.cy[at], p.cx[at], part, row))
+    at, row, part, col = at[order], row[order], part[order], col[order]
+    cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(part) != 0)) + 1
+    starts, ends = np.r_[0, cuts].tolist(), np.r_[cuts, len(at)].tolist()
+    pages, texts, known = p.page[at].tolist(), p.text.take(pa.array(at)).to_pylist(), p.known[at].tolist()
+    conf, x, y, x2, y2, cx, cy = (v[at].tolist() for v in (p.conf, p.x, p.y, p.x2, p.y2, p.cx, p.cy))
+    row, part, col = row.tolist(), part.tolist(), col.tolist()
+    out, ended = [[] for _ in range(p.n)], -1
+    for start, end in zip(starts, ends, strict=True) if len(at) else ():
+        page = pages[start]
+        if page == ended:
+            continue
+        names = [c for c, _, _ in columns[page]]
+        cells = [[] for _ in names]
+        for i in range(start, end):
+            if col[i] >= 0 and known[i]:
+                cells[col[i]].append(i)
+        joined = [" ".join([texts[i] for i in cell]) for cell in cells]
+        whole = " ".join(joined).upper()
+        if "NOMBRE DEL PRODUCTO" in whole or ("PRESEN" in whole and "CANTIDAD" in whole):
+            continue
+        if "ULTIMA" in whole or "LINEA" in whole:
+            ended = page
+            continue
+        text, cell = dict(zip(names, joined, strict=True)), dict(zip(names, cells, strict=True))
+        raw = text.get("codigo", "")
+        if not RUNS.search(raw):
+            continue
+        numbers = {}
+        for c in QUANTITIES:
+            middle = next(((lo + hi) / 2 * float(p.w[page]) for k, lo, hi in columns[page] if k == c), None)
+            numbers[c] = pick_number([(texts[i], conf[i], x[i], y[i], x2[i], y2[i], cx[i]) for i in cell.get(c, ())], middle)
+        marks = [{"digits": REST.sub("", texts[i]), "cy": cy[i], "y": y[i], "y2": y2[i]} for i in cell["codigo"] if CODE.search(texts[i])]
+        box = {"row": row[start], "part": part[start], "y1": min(y[start:end]), "y2": max(y2[start:end])}
+        out[page].append(box | {c: text.get(c, "") for c in ("idem", "nombre_producto", "presentacion")} | numbers | {"marks": marks, "raw": raw})
+    return out
+
+
+def may_be_receipt(p: Pages) -> np.ndarray:
+    return (p.first(p.holds("ACTA")) >= 0) & (p.first(p.holds("RECIBIDO")) >= 0)
 
 
 def extract_header(tokens: DataFrame) -> DataFrame:
     """file_id and eight header fields, from the top of each page."""
-    sized = tokens.join(page_extent(tokens), PAGE)
-    top = F.col("cy") <= F.col("page_h") * 0.15
-    named = anchors(sized, HEADER, top)
-    heads = sized.where(F.contains(F.lower("text"), F.lit("espach")) & (F.col("cy") < F.col("page_h") * 0.15))
-    turn = heads.withColumn("n", F.row_number().over(W.partitionBy(PAGE).orderBy("cx", "tok_seq"))).where("n <= 2")
-    totals = turn.select(PAGE, F.when(F.col("n") == 1, "total_despachada").otherwise("total_no_despachada").alias("field"), *[F.col(c).alias(f"a_{c}") for c in ("tok_seq", "x", "y", "x2", "y2", "cx", "cy")])
-    found = wide(value_below(tokens, named.unionByName(totals)), [*HEADER, "total_despachada", "total_no_despachada"])
-    whole = page_extent(tokens).select(PAGE).join(found, PAGE, "left")
-    return whole.withColumn("año", F.coalesce("año", "ano")).drop("ano")
+    return on_pages(tokens, header, schema_of(HEADER_FIELDS))
 
 
 def extract_signatures(tokens: DataFrame) -> DataFrame:
-    below = line_below(tokens, anchors(tokens, SIGNATURES))
-    right = line_right(tokens, anchors(tokens, {"elaborado": ["ELABORADO"]}))
-    found = wide(below.unionByName(right), [*SIGNATURES, "elaborado"])
-    return page_extent(tokens).select(PAGE).join(found, PAGE, "left")
+    return on_pages(tokens, signatures, schema_of(SIGNATURE_FIELDS))
 
 
-def document_number(tokens: DataFrame, hint: Column | None = None) -> DataFrame:
+def document_number(tokens: DataFrame) -> DataFrame:
     """file_id, no_doc: digits on the right of ``DOC.``, else of ``SAFIS``."""
-    values = wide(value_right(tokens, anchors(tokens, {"doc": ["DOC."], "safis": ["SAFIS"]})), ["doc", "safis"])
-    usable = lambda c: F.when(looks_like_doc_number(F.col(c)), digits(F.col(c)))
-    found = F.coalesce(usable("doc"), usable("safis"), hint if hint is not None else F.lit(None).cast("string"))
-    return page_extent(tokens).select(PAGE).join(values, PAGE, "left").select(PAGE, found.alias("no_doc"))
+    return on_pages(tokens, lambda p: {"no_doc": number(p)}, "no_doc string")
 
 
 def detect_columns(tokens: DataFrame) -> DataFrame:
     """file_id, layout: column bounds inferred from the heading of the items."""
-    text = F.upper("text")
-    holds = lambda *needles: F.array_contains(F.transform(F.array(*map(F.lit, needles)), lambda n: F.contains(text, n)), True)
-    extent = page_extent(tokens)
-    product = tokens.where(holds("PRODUCTO")).select(PAGE, F.col("cy").alias("p_cy"))
-    names = tokens.where(holds("NOMBRE")).withColumn("plain", ~holds("PRODUCTO"))
-    names = names.withColumn("any_plain", F.max("plain").over(W.partitionBy(PAGE))).where("plain or (not any_plain and startswith(upper(text), 'NOMBRE'))")
-    beside = names.join(product, PAGE).where(F.abs(F.col("cy") - F.col("p_cy")) < 40)
-    name = beside.groupBy(PAGE).agg(F.min_by(F.struct("cx", "cy"), F.struct("cy", "tok_seq")).alias("n")).select(PAGE, F.col("n.cx").alias("name_cx"), F.col("n.cy").alias("name_cy"))
-    near = tokens.join(name, PAGE).where(F.abs(F.col("cy") - F.col("name_cy")) < 80)
-    first = lambda c: F.min_by("cx", F.when(c, F.col("tok_seq")))
-    amount = holds("CANTIDAD")
-    heads = near.groupBy(PAGE, "name_cx").agg(
-        first(holds("CODIGO", "ÓDIGO") & ~holds("CODIGOS")).alias("code"), first(holds("PRESEN")).alias("pack"), first(holds("SOLICITAD")).alias("asked"), first(holds("DESPACHAD")).alias("sent"),
-        F.min(F.when(amount, F.col("cx"))).alias("low"), F.max(F.when(amount, F.col("cx"))).alias("high"), F.count_if(amount).alias("amounts"),
-    )
-    heads = heads.join(extent, PAGE).withColumn("asked", F.coalesce("asked", "low"))
-    heads = heads.withColumn("sent", F.coalesce("sent", F.when(F.col("amounts") >= 2, F.col("high")), F.col("asked") + (F.col("page_w") - F.col("asked")) * 0.5))
-    named = (("codigo", "code"), ("nombre_producto", "name_cx"), ("presentacion", "pack"), ("cant_solicitada", "asked"), ("cant_despachada", "sent"))
-    centres = F.array_sort(F.filter(F.array(*[F.struct((F.col(c) / F.col("page_w")).alias("at"), F.lit(i).alias("n"), F.lit(k).alias("col")) for i, (k, c) in enumerate(named)]), lambda s: s["at"].isNotNull()))
-    heads = heads.where("code is not null").withColumn("s", centres).withColumn("edge", F.greatest(F.lit(0.02), F.element_at("s", 1)["at"] - 0.05))
-
-    def bounds(c, i):
-        lo = F.when(i == 0, F.col("edge")).otherwise((F.get("s", i - 1)["at"] + c["at"]) / 2)
-        hi = F.when(i + 1 < F.size("s"), (c["at"] + F.get("s", i + 1)["at"]) / 2).otherwise(F.lit(1.0))
-        return F.struct(c["col"].alias("col"), lo.alias("lo"), F.when(c["col"] == "cant_despachada", F.least(hi, lo + (hi - lo) * 0.75)).otherwise(hi).alias("hi"))
-
-    found = heads.select(PAGE, F.concat(F.array(F.struct(F.lit("idem").alias("col"), F.lit(0.0).alias("lo"), F.col("edge").alias("hi"))), F.transform("s", bounds)).cast(LAYOUT_TYPE).alias("layout"))
-    return extent.select(PAGE).join(found, PAGE, "left").select(PAGE, F.coalesce("layout", default_layout()).alias("layout"))
-
-
-def pick_number(bucket: Column, centre: Column) -> Column:
-    """Digits nearest to a column's centre, of tokens (text, conf, x, y, x2, y2,
-    cx) that are clear and not a cross read as a digit; '' if there are none."""
+    named = lambda page: [{"col": c, "lo": lo, "hi": hi} for c, lo, hi in page]
+    return on_pages(tokens, lambda p: {"layout": [named(page) for page in layouts(p)]}, f"layout {LAYOUT_TYPE}")
 
-    def readings(t):
-        wide_one = (t["y2"] > t["y"]) & ((t["x2"] - t["x"]) / (t["y2"] - t["y"]) > WIDEST_DIGIT)
-        runs = F.filter(F.regexp_extract_all(t["text"], F.lit("([0-9]+)"), 1), lambda r: ~((F.length(r) == 1) & wide_one))
-        return F.transform(runs, lambda r: F.struct(F.abs(t["cx"] - centre).alias("away"), r.alias("digits")))
 
-    found = F.flatten(F.transform(F.filter(bucket, lambda t: t["conf"] >= MIN_DIGIT_CONFIDENCE), readings))
-    least = F.array_min(F.transform(found, lambda f, i: F.struct(f["away"].alias("away"), i.alias("i"), f["digits"].alias("digits"))))
-    return F.coalesce(least["digits"], F.lit(""))
-
-
-def item_region(tokens: DataFrame, layouts: DataFrame) -> DataFrame:
-    """Tokens of the item table, with layout, width and whether each is a code."""
-    extent = page_extent(tokens)
-    marks = anchors(tokens.join(extent, PAGE), {"doc": ["DOC."]}, F.col("cy").between(F.col("page_h") * 0.5, F.col("page_h"))).select(PAGE, F.col("a_y").alias("doc_y"))
-    tags = tokens.where(is_position_tag(F.col("text"))).groupBy(PAGE).agg(F.max("cy").alias("tag_cy"))
-    page = extent.join(layouts, PAGE).join(marks, PAGE, "left").join(tags, PAGE, "left")
-    code = F.filter("layout", lambda c: c["col"] == "codigo")
-    page = page.select(
-        PAGE, "page_w", "layout", F.coalesce(F.col("doc_y") - 10, F.col("page_h") * 0.85).alias("y_end"), F.coalesce("tag_cy", F.col("page_h") * 0.05).alias("head_end"),
-        F.coalesce(F.get(code, F.lit(0))["lo"], F.lit(0.06)).alias("code_lo"), F.coalesce(F.get(code, F.lit(0))["hi"], F.lit(0.25)).alias("code_hi"),
-    )
-    place = F.col("cx") / F.col("page_w")
-    placed = tokens.join(page, PAGE).withColumn("is_code", F.col("text").rlike(ITEM_CODE) & (F.col("code_lo") <= place) & (place < F.col("code_hi") + 0.03))
-    real = F.col("is_code") & (F.col("cy") > F.col("head_end") + 30) & (F.col("cy") < F.col("y_end"))
-    start = F.min(F.when(real, F.col("cy") - 25)).over(W.partitionBy(PAGE))
-    return placed.withColumn("y_start", start).where("y_start is not null and cy >= y_start and cy <= y_end").drop("head_end", "code_lo", "code_hi", "y_start")
-
-
-def item_rows(region: DataFrame) -> DataFrame:
-    """One row for each text row before the footer: buckets of tokens by column,
-    the joined text, and the box."""
-    parts = split_rows(group_rows(region), F.col("is_code"))
-    token = F.struct("cx", "cy", "tok_seq", "text", "conf", "x", "y", "x2", "y2", column_of(F.col("layout"), F.col("cx") / F.col("page_w")).alias("col"))
-    rows = parts.groupBy(PAGE, "row", "part").agg(F.array_sort(F.collect_list(token)).alias("toks"), F.first("layout").alias("layout"), F.first("page_w").alias("page_w"), F.min("y").alias("y1"), F.max("y2").alias("y2"))
-    texts = F.transform("layout", lambda c: F.array_join(F.transform(F.filter("toks", lambda t: t["col"] == c["col"]), lambda t: t["text"]), " "))
-    rows = rows.withColumn("texts", texts).withColumn("joined", F.upper(F.array_join("texts", " ")))
-    head = F.contains("joined", F.lit("NOMBRE DEL PRODUCTO")) | (F.contains("joined", F.lit("PRESEN")) & F.contains("joined", F.lit("CANTIDAD")))
-    foot = F.contains("joined", F.lit("ULTIMA")) | F.contains("joined", F.lit("LINEA"))
-    body = rows.where(~head).withColumn("footed", F.max(foot).over(W.partitionBy(PAGE).orderBy("row", "part")))
-    return body.where("not footed").drop("footed")
-
-
-def extract_items(tokens: DataFrame, layouts: DataFrame, master: DataFrame) -> DataFrame:
+def coded_items(rows: DataFrame, master: DataFrame) -> DataFrame:
     """One row for each code of a page (the last reading of it)."""
-    rows = item_rows(item_region(tokens, layouts))
-    of = lambda c: F.filter("toks", lambda t: t["col"] == c)
-    text = lambda c: F.array_join(F.transform(of(c), lambda t: t["text"]), " ")
-
-    def centre(c):
-        own = F.get(F.filter("layout", lambda s: s["col"] == c), F.lit(0))
-        return (own["lo"] + own["hi"]) / 2 * F.col("page_w")
-
-    place = ["row", "part", "y1", "y2"]
-    marks = F.transform(F.filter(of("codigo"), lambda t: t["text"].rlike(ITEM_CODE)), lambda t: F.struct(digits(t["text"]).alias("digits"), t["cy"].alias("cy"), t["y"].alias("y"), t["y2"].alias("y2")))
-    # what the code doesn't decide is made before codes are looked up: rows without their tokens
-    slim = rows.select(PAGE, *place, *[text(c).alias(c) for c in ("idem", "nombre_producto", "presentacion")], *[pick_number(of(c), centre(c)).alias(c) for c in QUANTITIES], marks.alias("marks"), text("codigo").alias("raw"))
-    slim = keep(slim.where(F.col("raw").rlike("[0-9]")), "rows")
-    rows = clean_codes(slim, [c for c in slim.columns if c != "raw"], "raw", master).where("codigo is not null")
+    coded = clean_codes(rows, [c for c in rows.columns if c != "raw"], "raw", master).where("codigo is not null")
     # a row that runs over several lines is cut to the height around its code
     real = F.get(F.filter("marks", lambda m: m["digits"] == F.col("codigo")), F.lit(0))
     half = F.greatest(F.lit(20), F.floor((real["y2"] - real["y"]) * 0.9))
     tall = (F.col("y2") - F.col("y1") > 80) & real.isNotNull()
-    items = rows.select(
+    items = coded.select(
         PAGE, "row", "part", "idem", "nombre_producto", "presentacion", "codigo", *QUANTITIES,
         F.when(tall, (real["cy"] - half).cast("int")).otherwise(F.col("y1").cast("int")).alias("box_y1"), F.when(tall, (real["cy"] + half).cast("int")).otherwise(F.col("y2").cast("int")).alias("box_y2"), "verified",
     )
@@ -185,21 +248,22 @@ def warehouse_receipt(tokens: DataFrame, master: DataFrame, master_is_empty: boo
     is_amount = plain.rlike(r"^[0-9]+(\.[0-9]+)?$") & dy.between(0, F.col("page_h") * 0.12) & (dx <= F.col("page_w") * 0.12)
     amount = F.min_by(F.struct(F.col("text"), F.col("y"), F.col("y2")), F.when(is_amount, F.struct(dy + dx * 0.20, F.col("tok_seq"))))
     is_word = (F.abs(F.col("cy") - F.col("k.c.cy")) <= 35) & (F.col("x") > F.col("k.c.x2")) & (F.col("x") < F.col("page_w") * 0.72) & ~F.col("text").rlike(r"^[|_\-]+$")
-    words = F.array_sort(F.collect_list(F.when(is_word, F.struct("x", "tok_seq", "text"))))
+    words = F.sort_array(F.collect_list(F.when(is_word, F.struct("x", "tok_seq", "text"))))
     found = met.groupBy(PAGE, "k").agg(amount.alias("q"), F.array_join(F.transform(words, lambda t: t["text"]), " ").alias("nombre_producto")).where("q is not null")
     quantity = receipt_quantity(F.col("q.text"))
     return found.select(PAGE, F.lit("").alias("idem"), "nombre_producto", F.lit("").alias("presentacion"), F.col("k.codigo").alias("codigo"), quantity.alias("cant_solicitada"), quantity.alias("cant_despachada"), F.col("q.y").cast("int").alias("box_y1"), F.col("q.y2").cast("int").alias("box_y2"), F.col("k.verified").alias("verified"))
 
 
-def page_items(tokens: DataFrame, master: DataFrame) -> DataFrame:
-    """Items of every page; a page that is a goods receipt is read as one.  The
-    tokens, which many steps read, are written once."""
-    own = not is_kept(tokens)
-    tokens = keep(tokens, "tokens")
-    receipts = keep(warehouse_receipt(tokens, master), "receipts")
-    forms = tokens
+def found_items(read: DataFrame, master: DataFrame) -> DataFrame:
+    """Items of pages that were read (file_id, rows, receipt) and written."""
+    acts = read.where("receipt is not null").select(PAGE, F.inline("receipt"))
+    receipts = keep(warehouse_receipt(acts, master), "receipts")
+    rows = read.select(PAGE, F.inline("rows"))
     if not receipts.isEmpty():
-        forms = keep(tokens.join(receipts.select(PAGE).distinct(), PAGE, "left_anti"), "forms")
-        if own:
-            drop(tokens)
-    return extract_items(forms, detect_columns(forms), master).unionByName(receipts)
+        rows = rows.join(receipts.select(PAGE).distinct(), PAGE, "left_anti")
+    return coded_items(rows, master).unionByName(receipts)
+
+
+def page_items(tokens: DataFrame, master: DataFrame) -> DataFrame:
+    """Items of every page; a page that is a goods receipt is read as one."""
+    return found_items(keep(on_pages(tokens, lambda p: {"rows": read_items(p)}, ROWS, may_be_receipt), "rows"), master)

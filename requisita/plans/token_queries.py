@@ -8,6 +8,7 @@ from ..functions.scalars import accept_local_cell, needs_refinement, pick_best_q
 from ..operators import codes, documents, extraction, forms, tokens
 from ..sources import adapters
 from ..sources.adapters import table
+from ..sources.scratch import keep
 from .sql import block, sql
 
 QUERIES: dict = {}
@@ -173,8 +174,8 @@ block("on_forms", f"SELECT file_id, codigo, coalesce(l.idem, h.idem) AS idem, co
 @query(sql("""SELECT archivo, archivo_hash, doc AS no_doc, doc AS no_doc_ocr_local, name AS no_doc_archivo, CASE o % 3 WHEN 0 THEN 'OCR local + nombre archivo' WHEN 1 THEN 'OCR local (número completo)' ELSE 'OCR local' END AS no_doc_fuente, name = doc AS no_doc_coincide_archivo,
 '201' AS mov, CAST(1 + o % 12 AS VARCHAR) AS mes, 'Ana Paz' AS solicito, codigo, idem, nombre_producto, cant_solicitada, coalesce(cant_despachada, CASE WHEN codigo IS NOT NULL THEN '' END) AS cant_despachada, CAST(NULL AS VARCHAR) AS error FROM form_file LEFT JOIN on_forms USING (file_id)""", "form_file", "on_forms"))
 def process_forms(spark, d):
-    files = adapters.form_files(spark, d)
-    done = documents.process_documents(files, adapters.form_readings(spark, d), master(spark, d))
+    line = keep(adapters.lines(spark, d), "line")
+    done = documents.process_documents(adapters.form_files(spark, d, line), adapters.form_pages(spark, d, line), master(spark, d))
     return done.select("archivo", "archivo_hash", "no_doc", "no_doc_ocr_local", "no_doc_archivo", "no_doc_fuente", "no_doc_coincide_archivo", "mov", "mes", "solicito", "codigo", "idem", "nombre_producto", "cant_solicitada", "cant_despachada", "error")
 
 

@@ -1,11 +1,15 @@
 """From words to scan rows, with readings of strips, cells and an outside model."""
 
 import glob
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from requisita.operators import documents, extraction, forms
+from requisita.functions.scalars import ITEM_CODE
+from requisita.operators import documents, extraction, forms, tokens
+from requisita.operators.pages import WORD, on_pages
 from requisita.plans import token_queries
 from requisita.sources import adapters
 from requisita.sources.scratch import keep, shared_folder
@@ -132,3 +136,43 @@ def test_words_are_written_once(spark):
     both = {tuple(r) for r in forms.page_items(words.unionByName(receipt), listed).collect()}
     assert items and {r for r in both if r[0] < 10**9} == items
     assert [r[4] for r in both - items] == ["910000001"]
+
+
+def test_pages_may_come_as_arrays(spark):
+    """The same words and scan rows, whether a row is a word or a page."""
+    sf = "/root/testdata/sf0.001"
+    files = adapters.form_files(spark, sf).where("file_id < 40000")
+    some = lambda df: df.join(files.select("archivo"), "archivo", "left_semi")
+    words, pages = some(adapters.form_readings(spark, sf)), some(adapters.form_pages(spark, sf))
+    columns = ["archivo", "dpi", *WORD]
+    assert words.select(columns).exceptAll(pages.select("archivo", "dpi", F.inline("words")).select(columns)).isEmpty()
+    listed, shuffled = token_queries.master(spark, sf), pages.withColumn("words", F.shuffle("words"))
+    by_word, by_page = ([tuple(r) for r in documents.process_documents(files, t, listed).collect()] for t in (words, shuffled))
+    assert by_word and sorted(by_word, key=str) == sorted(by_page, key=str)
+
+
+def test_look_ups_within_pages(spark):
+    """As the joins of ``tokens`` find them, on pages of words at random places."""
+    r = random.Random(5)
+    texts = ["DOC.", "doc. x", "Ana", ":b:", "-", "(1)", "[2-3]", "POR", "Firma", "ﬁrma", "123456", "7654321", "ß.", "x"]
+    rows = [(f, i, r.choice(texts), 90, x := 10 * r.randrange(60), y := 10 * r.randrange(40), x + 40, y + 20, x + 20.0, y + 10.0) for f in range(80) for i in range(r.randrange(1, 40))]
+    words = keep(spark.createDataFrame(rows, "file_id int, tok_seq int, text string, conf int, x int, y int, x2 int, y2 int, cx double, cy double"), "words")
+    found = tokens.anchors(words, {"doc": ["DOC."]})
+
+    def read(p):
+        a = p.first(p.holds("DOC."))
+        at = np.lexsort((p.seq, p.cy, p.page))
+        row, part = forms.split_rows(p, at, p.matches(ITEM_CODE))
+        first = np.r_[0, np.cumsum(np.bincount(p.page))][p.page[at]]
+        cut = [[] for _ in range(p.n)]
+        for i, place, k in zip(at, row - row[first], part, strict=True):
+            cut[p.page[i]].append({"tok_seq": int(p.seq[i]), "row": int(place), "part": int(k)})
+        return {"below": p.value_below(a, p.tags()), "right": p.value_right(a), "line_below": p.line_below(a), "line_right": p.line_right(a), "cut": cut}
+
+    pages = on_pages(words, read, "below string, right string, line_below string, line_right string, cut array<struct<tok_seq int, row int, part int>>").collect()
+    for name, f in (("below", tokens.value_below), ("right", tokens.value_right), ("line_below", tokens.line_below), ("line_right", tokens.line_right)):
+        want = {r.file_id: r.value for r in f(words, found).collect() if r.value is not None}
+        assert want and {p.file_id: p[name] for p in pages if p[name] is not None} == want, name
+    cut = tokens.split_rows(tokens.group_rows(words), F.col("text").rlike(ITEM_CODE)).collect()
+    assert {(p.file_id, *w) for p in pages for w in p.cut} == {(w.file_id, w.tok_seq, w.row, w.part) for w in cut}
+    assert any(w.part for w in cut)
